@@ -7,20 +7,47 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import decontaminate
+from .media import text_media
+from .packing import best_fit_packing
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_files import tokens_round_trip
+
+
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file lies; operators get the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), window=13, with_text=False)
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), context=4096, end_id=1)
+
+
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"), least=200, with_bytes=False)
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=2)
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+
+
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_media(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op6_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op5_best_fit_packing, op6_suffix_array_dedup, op7_token_files, op8_decontamination, op9_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,12 +29,21 @@ from .common import chunk_count, chunked, documents, stored
 from .kernels import Slab, chosen, covered, grams, i64, ordered, runs, sha, slabs, word_bounds, word_hashes
 
 PHRASE = 5
-#: Letters of the automaton: code points over the surrogates, by a word's hash.
-_LETTERS, _FIRST = 1_000_000, 0xE000
+#: A word is spelt in so many letters of 32, by its hash: a node has 32 children at most, which the
+#: automaton searches in a row. Words spelt alike are told apart when passages are confirmed.
+_SPELT = 2
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
 OUT_DDL = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
+def spelt(h: np.ndarray) -> str:
+    """Words by their hashes as text, ``_SPELT`` letters each."""
+    out = np.empty((len(h), _SPELT), np.uint8)
+    for d in range(_SPELT):
+        out[:, d] = ((h >> np.uint64(20 + 5 * d)) & np.uint64(31)).astype(np.uint8) + np.uint8(65)
+    return out.tobytes().decode("latin-1")
+
+
 def _ids(rows: pa.Table) -> np.ndarray:
     return rows.column("doc_id").to_numpy()
 
@@ -65,9 +74,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, phrase: int = PHRASE, wit
             starts, ends, first = word_bounds(s.data, s.bounds)
             h = word_hashes(s.data, starts, ends)
             g = grams(h, phrase)
-            letters = ((h >> np.uint64(20)) % np.uint64(_LETTERS) + np.uint64(_FIRST)).astype(np.uint32).tobytes().decode("utf-32-le")
-            for p in np.flatnonzero(repeats.among(g, known)).tolist():
-                phrases.add(letters[p : p + phrase])
+            letters = spelt(h)
+            for p in (np.flatnonzero(repeats.among(g, known)) * _SPELT).tolist():
+                phrases.add(letters[p : p + phrase * _SPELT])
             streamed.append((s, starts, ends, first, letters, g))
         if not phrases:
             return out.table()
@@ -76,9 +85,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, phrase: int = PHRASE, wit
             automaton.add_word(p)
         automaton.make_automaton()
         for s, starts, ends, first, letters, g in streamed:
-            hits = np.fromiter((end for end, _ in automaton.iter(letters)), np.int64) - (phrase - 1)
-            hit = np.zeros(len(letters) + 1, bool)
-            hit[hits] = True
+            hits = np.fromiter((end for end, _ in automaton.iter(letters)), np.int64) + 1
+            hit = np.zeros(len(starts) + 1, bool)
+            hit[hits[hits % _SPELT == 0] // _SPELT - phrase] = True
             r = runs(g, window, phrase, first)
             r = chosen(r, hit[r.at])
             a, b, data = starts[r.first].tolist(), ends[r.last + window - 1].tolist(), s.data.tobytes()

@@ -1,6 +1,6 @@
 """Suffix-array dedup of byte strings by threshold-bounded interval expansion.
 
-Chunks find the 200-byte strings that may recur through winnowed 32-byte anchors (``repeats``). The
+Chunks find the 200-byte strings that may recur through winnowed 96-byte anchors (``repeats``). The
 stretches around recurring anchors meet in the bucket of their anchor, once a chunk. A bucket sorts
 the suffixes of its distinct stretches, forms the Burrows-Wheeler transform and derives the common
 prefixes of neighbouring suffixes by breadth-first backward extension of intervals: step l sets those
@@ -38,38 +38,34 @@ def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     sym = joined.astype(np.int64) + m
     sym[close] = np.arange(m)
     n = len(sym)
-    #: Four symbols in one key; behind a closing sign the rest doesn't matter, as the sign is unique.
-    flat = np.where(sym < m, 0, sym - m + 1).astype(np.uint64)
+    # eight bytes in one key, nothing behind a closing sign; `tie` orders what is equal up to there
+    ahead = np.repeat(close, lengths + 1) - np.arange(n)
     key = np.zeros(n, np.uint64)
-    for d in range(4):
-        key = key * np.uint64(257)
-        key[: n - d] += flat[d:]
-    last = np.zeros(n, np.int64)
-    last[close] = 1
-    ahead = np.full(n, 4, np.int64)
-    for d in range(3, -1, -1):
-        ahead[: n - d][last[d:] == 1] = d
-    closer = np.repeat(np.arange(m), lengths + 1)
-    key = np.where(ahead < 4, (key // (np.uint64(257) ** (np.uint64(3) - np.minimum(ahead, 3).astype(np.uint64)))) * (np.uint64(257) ** (np.uint64(3) - np.minimum(ahead, 3).astype(np.uint64))), key)
-    tie = np.where(ahead < 4, closer + 1, 0)
-    order = np.lexsort((tie, key))
-    changed = (np.diff(key[order]) != 0) | (np.diff(tie[order]) != 0)
+    for d in range(8):
+        key[: max(n - d, 0)] |= joined[d:].astype(np.uint64) << np.uint64(56 - 8 * d)
+    short = np.flatnonzero(ahead < 8)
+    cutoff = (np.uint64(8) * ahead[short].astype(np.uint64)) % np.uint64(64)
+    key[short] &= np.where(ahead[short] == 0, np.uint64(0), ~(np.uint64(0xFFFFFFFFFFFFFFFF) >> cutoff))
+    tie = np.full(n, 8 * m, np.int64)
+    tie[short] = ahead[short] * m + np.repeat(np.arange(m), lengths + 1)[short]
+    sa = np.argsort(key)
+    sorted_key = key[sa]
+    heads = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
     rank = np.empty(n, np.int64)
-    heads = np.r_[True, changed]
-    rank[order] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
-    sa, h = order, 4
+    rank[sa] = np.maximum.accumulate(np.where(heads, np.arange(n), 0))
     open_ = np.flatnonzero(~(heads & np.r_[heads[1:], True]))
+    h, after = 0, tie
     while len(open_):
         at = sa[open_]
-        ahead_rank = rank[np.minimum(at + h, n - 1)]
-        sub = np.lexsort((ahead_rank, rank[at]))
-        at, ahead_rank = at[sub], ahead_rank[sub]
+        behind = after[at] if h == 0 else after[np.minimum(at + h, n - 1)]
+        both = rank[at] * (9 * n) + behind
+        sub = np.argsort(both)
+        at, both = at[sub], both[sub]
         sa[open_] = at
-        group = rank[at]
-        head = np.r_[True, (np.diff(group) != 0) | (np.diff(ahead_rank) != 0)]
+        head = np.r_[True, both[1:] != both[:-1]]
         rank[at] = open_[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
         open_ = open_[~(head & np.r_[head[1:], True])]
-        h *= 2
+        h, after = max(8, 2 * h), rank
     return sym, sa, rank
 
 
@@ -119,7 +115,7 @@ def repeated_starts(texts: list[bytes], weights: np.ndarray, least: int) -> list
     return [good[a : a + max(0, k - least + 1)] for a, k in zip(begins.tolist(), lengths.tolist(), strict=True)]
 
 
-def suffix_dedup(docs: DataFrame, least: int = 200, anchor: int = 32, with_bytes: bool = True) -> DataFrame:
+def suffix_dedup(docs: DataFrame, least: int = 200, anchor: int = 96, with_bytes: bool = True) -> DataFrame:
     """Per document: n_bytes, n_removed, n_spans, kept_sha256 and, with ``with_bytes``, the kept bytes."""
     docs = documents(docs)
     n = chunk_count(docs)
