@@ -48,11 +48,15 @@ class _Blocks(HTMLParser):
 
     NOISE = {"script", "style", "noscript", "iframe", "svg", "nav", "footer"}
 
+    ENDS_P = {"p", "ul", "ol", "table", "div", "section", "article", "nav", "footer", "h1", "h2", "h3", "h4", "h5", "h6"}
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.out, self.open, self.skip, self.rows = [], [], 0, None
 
     def handle_starttag(self, tag, attrs):
+        if tag in self.ENDS_P:
+            self._close("p")
         if tag in self.NOISE:
             self.skip += 1
         elif tag == "table":
@@ -60,8 +64,6 @@ class _Blocks(HTMLParser):
         elif tag == "tr" and self.rows is not None:
             self.rows.append([])
         elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th"):
-            if tag == "p":
-                self._close("p")
             self.open.append((tag, []))
 
     def _close(self, tag):
@@ -85,6 +87,11 @@ class _Blocks(HTMLParser):
         else:
             self._close(tag)
 
+    def close(self):
+        super().close()
+        while self.open:
+            self._close(self.open[-1][0])
+
     def handle_data(self, data):
         if not self.skip:
             for _, parts in self.open:
@@ -100,6 +107,7 @@ def blocks(pages: DataFrame) -> DataFrame:
             for page, html in zip(b["page_id"], b["html"], strict=True):
                 p = _Blocks()
                 p.feed(html or "")
+                p.close()
                 rows += [(page, i, k, t) for i, (k, t) in enumerate(p.out)]
             yield pd.DataFrame(rows, columns=["page_id", "ord", "kind", "text"]).astype({"page_id": "int64", "ord": "int64"})
 
