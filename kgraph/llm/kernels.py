@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLAB = 4 << 20
+SLAB = 1 << 20
 _MULT, _GRAM_MULT = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
