@@ -1,13 +1,13 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, applied in DataFrame operations alone.
 
-The model is a multinomial logistic regression over word n-grams (one to three words) of paragraphs that hold
-a word with one of the stems in GATES, one class a family and one for anything else. It is fitted on the driver
+The model is a multinomial logistic regression over word n-grams (one to three words) of paragraphs, one
+class a family and one for anything else. It is fitted on the driver
 from TEMPLATES: whole notices, their parts, with words dropped and with other text around them; the
 class of other texts gets DISTRACTORS and shuffled notices. A temperature fitted on variants that the
 weights never saw calibrates the probabilities; a paragraph is of no known family unless its best one
 reaches ``least``. A prediction stands only if the paragraph shares enough word trigrams with one of the
-family's templates. A paragraph without a gate word has no feature at all by this definition, so it is
-left out before n-grams are made.
+family's templates. A paragraph without a word of ANCHORS shares no trigram with any template and can't be
+confirmed, so it is left out before n-grams are made.
 
 Defined results: null and empty texts have no paragraphs and no family; equal paragraphs each count;
 rows that repeat a doc_id and its text are one document; rows without a doc_id are left out; an empty
@@ -41,7 +41,7 @@ TEMPLATES = {
 }
 #: Texts with words of licences that grant nothing.
 DISTRACTORS = ["His driving licence was taken away after the accident.", "You need a fishing license to fish in this lake.", "The license plate of the car was not readable.", "She asked for permission to leave the room.", "Poetic license lets the author change history.", "The rights of the people were reserved to the court.", "The warranty of the machine ends after two years.", "The copyright of the song was sold by the band.", "The mozilla was a nickname of the project.", "A gnu is an antelope of the savanna.", "Public houses need a license to sell spirits.", "The village was licensed to hold a market."]
-#: Only paragraphs with one of these in a word have features.
+#: Stems that texts shuffled from notices go without.
 GATES = ["licen", "copyright", "permi", "redistribut", "reserved", "spdx", "proprietary"]
 UNKNOWN = "unknown"
 _WORD = re.compile(r"[a-z0-9]+")
@@ -52,12 +52,19 @@ def words_of(text: str) -> list[str]:
 
 
 def ngrams(words: list[str], most: int = 3) -> set[str]:
-    """All n-grams of a paragraph with a gate word; none of another."""
-    if not any(g in w for w in words for g in GATES):
-        return set()
+    """All n-grams of a paragraph."""
     return {" ".join(words[i : i + k]) for k in range(1, most + 1) for i in range(len(words) - k + 1)}
 
 
+def _anchors() -> list[str]:
+    """Words of which each trigram of the templates holds one: its longest."""
+    grams = [w[i : i + 3] for ts in TEMPLATES.values() for t in ts for w in [words_of(t)] for i in range(max(1, len(w) - 2))]
+    return sorted({max(g, key=lambda w: (len(w), w)) for g in grams})
+
+
+ANCHORS = _anchors()
+
+
 def _variants(rng: random.Random, words: list[str], times: int) -> list[list[str]]:
     syllables = ["er", "tion", "an", "re", "st", "in", "ou", "le", "ba", "ch"]
     other = lambda n: ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n)]
@@ -150,19 +157,13 @@ def _grams(words: str, n: Column) -> Column:
 
 
 def license_paragraphs(docs: DataFrame, least: float = 0.6, shared: float = 0.5) -> DataFrame:
-    """Per paragraph with a known n-gram: doc_id, copy, paragraph, family, probability, overlap, confirmed."""
+    """Per paragraph with an anchor word and a likely family: doc_id, copy, paragraph, family, probability, overlap, confirmed."""
     spark, m = docs.sparkSession, model()
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def gated(c: Column) -> Column:
-        found = F.contains(c, F.lit(GATES[0]))
-        for g in GATES[1:]:
-            found = found | F.contains(c, F.lit(g))
-        return found
-
-    rows = rows.select("doc_id", F.xxhash64("text").alias("copy"), F.lower("text").alias("low")).where(gated(F.col("low")))
-    para = rows.select("doc_id", "copy", F.posexplode(F.split("low", r"\n")).alias("paragraph", "low")).where(gated(F.col("low")))
-    para = para.select("doc_id", "copy", "paragraph", F.regexp_extract_all("low", F.lit(r"([a-z0-9]+)"), F.lit(1)).alias("words")).distinct()
+    rows = rows.select("doc_id", F.xxhash64("text").alias("copy"), F.lower("text").alias("low"))
+    para = rows.select("doc_id", "copy", F.posexplode(F.split("low", r"\n")).alias("paragraph", "low"))
+    para = para.select("doc_id", "copy", "paragraph", F.regexp_extract_all("low", F.lit(r"([a-z0-9]+)"), F.lit(1)).alias("words"))
+    para = para.where(F.exists("words", lambda w: w.isin(ANCHORS))).distinct()
     # equal paragraphs, however many, are read once
     para = para.withColumn("name", F.xxhash64("words"))
     texts = para.groupBy("name").agg(F.first("words").alias("words"))

@@ -85,3 +85,10 @@ def test_license_scan(spark):
     right = sum(got[i][0].families == f for i, f in enumerate(families))
     assert right >= math.ceil(0.95 * len(families)) and not any(got[100 + i][0].families for i in range(len(L.DISTRACTORS)))
     assert L.license_scan(df.limit(0)).collect() == []
+
+
+def test_notices_without_a_word_of_licences(spark):
+    rows = [(1, "some text\nCC BY-SA 4.0\nmore"), (2, "CC BY-NC 4.0"), (3, "in source and binary forms, with or without modification"), (4, "a day at the sea")]
+    got = {r.doc_id: r.families for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "cc-by-sa-4.0", 2: "cc-by-nc-4.0", 3: "bsd", 4: ""}
+    assert all(set(w[i : i + 3]) & set(L.ANCHORS) for ts in L.TEMPLATES.values() for t in ts for w in [L.words_of(t)] for i in range(max(1, len(w) - 2)))
