@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import collapse, match_key, plain, similarity_name, strip_titles, tokens
+from ..functions.text import casefold, collapse, jaccard, match_key, plain, similarity_name, strip_titles, tokens
 
 
 def dedup_mentions(mentions: DataFrame) -> DataFrame:
@@ -53,16 +53,52 @@ def fuzzy_pairs(names: DataFrame, least: float, gram: int = 3) -> DataFrame:
     """a, b, name_a, name_b, score for pairs of names(id, name, type) of one type whose normalised names
     are alike. Names meet by a common trigram and by size. For ``least`` of 0.88 or more that loses none:
     n letters with e edits, e <= 0.12 n, keep a run of (n - e) / (e + 1) >= 3 letters from n = 5 on.
-    Distinct normalised names are compared, not rows."""
-    n = names.withColumn("norm", similarity_name(strip_titles(F.col("name")))).where(F.length("norm") >= 5)
+    Four letters against five meet by two letters. Distinct normalised names are compared, not rows: the
+    least id of equal ones stands for its class, and each other id of the class has a pair with it, of score 1."""
+    n = names.withColumn("norm", similarity_name(strip_titles(F.col("name")))).where("norm IS NOT NULL")
     distinct = n.groupBy("type", "norm").agg(F.min("id").alias("id"), F.min_by("name", "id").alias("name"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("norm") - gram + 1), lambda i: F.substring(F.col("norm"), i, F.lit(gram))))
-    keyed = distinct.withColumn("g", F.explode(grams))
+
+    def runs(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length("norm") - k + 1), lambda i: F.substring(F.col("norm"), i, F.lit(k)))
+
+    grams = F.when(F.length("norm") > 5, runs(gram)).otherwise(F.concat(runs(gram), runs(gram - 1)))
+    keyed = distinct.where(F.length("norm") >= 4).withColumn("g", F.explode(F.array_distinct(grams)))
     p, q = keyed.alias("p"), keyed.alias("q")
     small, large = F.least(F.length("p.norm"), F.length("q.norm")), F.greatest(F.length("p.norm"), F.length("q.norm"))
     near = p.join(q, (F.col("p.type") == F.col("q.type")) & (F.col("p.g") == F.col("q.g")) & (F.col("p.id") < F.col("q.id")) & (2 * small >= least * (small + large)))
     near = near.select(F.col("p.type").alias("type"), F.col("p.id").alias("a"), F.col("q.id").alias("b"), F.col("p.name").alias("name_a"), F.col("q.name").alias("name_b"), F.col("p.norm").alias("x"), F.col("q.norm").alias("y")).distinct()
-    return near.withColumn("score", F.round(ratio("x", "y"), 3)).where(F.col("score") >= least).drop("x", "y")
+    near = near.withColumn("score", F.round(ratio("x", "y"), 3)).where(F.col("score") >= least).drop("x", "y")
+    own = distinct.select("type", "norm", F.col("id").alias("a"), F.col("name").alias("name_a")).join(n.select("type", "norm", F.col("id").alias("b"), F.col("name").alias("name_b")), ["type", "norm"]).where("a != b")
+    return near.unionByName(own.select("type", "a", "b", "name_a", "name_b", F.lit(1.0).alias("score")))
+
+
+def resolve(names: DataFrame, least: float = 0.96, gram: int = 3) -> DataFrame:
+    """id, leader for all of names(id, name, type): leaders by a similarity of normalised names of one type.
+    Equal names have 1, equal token sets 0.98, a name that contains the other 0.94, an empty one 0; others
+    the greater of ratio and token Jaccard. Equal names are one class from there on, named by its least id:
+    they are alike to the same names, so whoever leads one leads all. For ``least`` of 0.96 or more names
+    that differ meet by a common trigram, or, where Jaccard can decide (25 tokens), by their first tokens by hash."""
+    norm = F.trim(F.regexp_replace(casefold(strip_titles(F.col("name"))), "[^a-z0-9&]+", " "))
+    n = names.select("id", "type", F.coalesce(norm, F.lit("")).alias("norm"))
+    reps = n.where("norm != ''").groupBy("type", "norm").agg(F.min("id").alias("rep")).withColumn("t", F.array_sort(tokens(F.col("norm"))))
+    size = F.size("t")
+    grams = F.when(F.length("norm") >= gram, F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - gram + 1, F.lit(1))), lambda i: F.substring(F.col("norm"), i, F.lit(gram)))).otherwise(F.array().cast("array<string>"))
+    hashed = F.transform(F.array_sort(F.transform("t", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: F.concat(F.lit("token "), s["x"]))
+    first = F.when(size >= 24, F.slice(hashed, F.lit(1), (size - F.ceil(least * size) + 1).cast("int"))).otherwise(F.array().cast("array<string>"))
+    keys = F.array_distinct(F.concat(grams, first, F.array(F.concat(F.lit("set "), F.array_join("t", " ")))))
+    keyed = reps.withColumn("g", F.explode(keys))
+    p, q = keyed.alias("p"), keyed.alias("q")
+    small, large = F.least(F.length("p.norm"), F.length("q.norm")), F.greatest(F.length("p.norm"), F.length("q.norm"))
+    same = F.col("p.t") == F.col("q.t")
+    fits = same | (2 * small >= least * (small + large)) | (F.greatest(F.size("p.t"), F.size("q.t")) >= 25)
+    near = p.join(q, (F.col("p.type") == F.col("q.type")) & (F.col("p.g") == F.col("q.g")) & (F.col("p.rep") < F.col("q.rep")) & fits)
+    near = near.select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.norm").alias("x"), F.col("q.norm").alias("y"), same.alias("same"), jaccard(F.col("p.t"), F.col("q.t")).alias("shared")).distinct()
+    sure = near.where("same").select("a", "b") if least <= 0.98 else near.limit(0).select("a", "b")
+    rest = near.where(~F.col("same") & ~F.contains("x", F.col("y")) & ~F.contains("y", F.col("x")))
+    rest = rest.where(F.greatest(ratio("x", "y"), F.col("shared")) >= least).select("a", "b")
+    led = leaders(sure.unionByName(rest).checkpoint(), reps.select(F.col("rep").alias("id"))).select(F.col("id").alias("rep"), "leader")
+    members = n.join(reps.select("type", "norm", "rep"), ["type", "norm"], "left").select("id", "rep")
+    return members.join(led, "rep", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
 
 def leaders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

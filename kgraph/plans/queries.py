@@ -297,7 +297,7 @@ def fuzzy_pairs(spark, d):
 @query()
 def fuzzy_resolve(spark, d):
     names = E.dedup_mentions(mentions(spark, d)).select(F.concat_ws(":", "type", "key").alias("id"), "name", "type")
-    return E.leaders(E.fuzzy_pairs(names, 0.88), names)
+    return E.resolve(names)
 
 
 def _chunks(spark, d):

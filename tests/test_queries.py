@@ -91,3 +91,12 @@ def test_answer(spark):
     chunks = Q._chunks(spark, DIR)
     assert "-[LOCATED_IN]->" in answer(spark, nodes(spark, DIR), edges(spark, DIR), chunks, "the license", "NATION_3")
     assert answer(spark, nodes(spark, DIR), edges(spark, DIR), chunks.limit(0), "zz", "nobody at all").startswith("There is not enough")
+
+
+def test_equal_and_short_names_have_pairs_and_leaders(spark):
+    rows = [("1", "Dr. Jane Smith", "P"), ("2", "Jane Smith", "P"), ("3", "Smith, Jane", "P"), ("4", "anna", "P"), ("5", "anxna", "P"), ("6", "Anna", "P"), ("7", "Jane Smith", "Q"), ("8", "", "P"), ("9", "!", "P"), ("a", "jane smith of york", "P")]
+    df = spark.createDataFrame(rows, "id string, name string, type string")
+    got = {(r.a, r.b): r.score for r in E.fuzzy_pairs(df, 0.88).collect()}
+    assert got[("1", "2")] == got[("4", "6")] == 1.0 and got[("4", "5")] == 0.889
+    lead = {r.id: r.leader for r in E.resolve(df).collect()}
+    assert lead == {"1": "1", "2": "1", "3": "1", "4": "4", "5": "5", "6": "4", "7": "7", "8": "8", "9": "9", "a": "a"}
