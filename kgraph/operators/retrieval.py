@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,10 +30,16 @@ def lexical(chunks: DataFrame, query: str, k: int) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 1000) -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest of all vectors by cosine, for each query vector.
-    Queries are a stated set: more than ``max_queries`` are refused, so the broadcast is bounded."""
-    n = queries.limit(max_queries + 1).count()
-    if n > max_queries:
-        raise ValueError(f"more than {max_queries} query vectors: search them in blocks")
+    Queries are broadcast in blocks by a hash of the id, of about ``max_queries`` each, one block at a time."""
+    blocks = -(-queries.count() // max_queries)
+    if blocks > 1:
+        parts = [nearest_block(vectors, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i), k).checkpoint() for i in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    return nearest_block(vectors, queries, k)
+
+
+def nearest_block(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``nearest`` for queries few enough to broadcast."""
     scored = vectors.crossJoin(F.broadcast(queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))))
     scored = scored.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -100,3 +100,11 @@ def test_equal_and_short_names_have_pairs_and_leaders(spark):
     assert got[("1", "2")] == got[("4", "6")] == 1.0 and got[("4", "5")] == 0.889
     lead = {r.id: r.leader for r in E.resolve(df).collect()}
     assert lead == {"1": "1", "2": "1", "3": "1", "4": "4", "5": "5", "6": "4", "7": "7", "8": "8", "9": "9", "a": "a"}
+
+
+def test_nearest_in_blocks(spark):
+    from kgraph.operators.retrieval import nearest
+
+    v = spark.read.parquet(f"{DIR}/embeddings.parquet")
+    few = v.where("vec_id % 20 = 0")
+    assert sorted(nearest(v, few, 3, max_queries=7).collect()) == sorted(nearest(v, few, 3).collect())
