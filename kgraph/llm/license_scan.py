@@ -6,8 +6,7 @@ from TEMPLATES: whole notices, their parts, with words dropped and with other te
 class of other texts gets DISTRACTORS and shuffled notices. A temperature fitted on variants that the
 weights never saw calibrates the probabilities; a paragraph is of no known family unless its best one
 reaches ``least``. A prediction stands only if the paragraph shares enough word trigrams with one of the
-family's templates. A paragraph without a word of ANCHORS shares no trigram with any template and can't be
-confirmed, so it is left out before n-grams are made.
+family's templates. A paragraph without a trigram of any template can't be confirmed, so it is left out before n-grams are made.
 
 Defined results: null and empty texts have no paragraphs and no family; equal paragraphs each count;
 rows that repeat a doc_id and its text are one document; rows without a doc_id are left out; an empty
@@ -63,6 +62,7 @@ def _anchors() -> list[str]:
 
 
 ANCHORS = _anchors()
+TRIGRAMS = sorted({" ".join(w[i : i + 3]) for ts in TEMPLATES.values() for t in ts for w in [words_of(t)] for i in range(max(1, len(w) - 2))})
 
 
 def _variants(rng: random.Random, words: list[str], times: int) -> list[list[str]]:
@@ -157,13 +157,15 @@ def _grams(words: str, n: Column) -> Column:
 
 
 def license_paragraphs(docs: DataFrame, least: float = 0.6, shared: float = 0.5) -> DataFrame:
-    """Per paragraph with an anchor word and a likely family: doc_id, copy, paragraph, family, probability, overlap, confirmed."""
+    """Per paragraph with a trigram of a template and a likely family: doc_id, copy, paragraph, family, probability, overlap, confirmed."""
     spark, m = docs.sparkSession, model()
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("copy"), F.lower("text").alias("low"))
     para = rows.select("doc_id", "copy", F.posexplode(F.split("low", r"\n")).alias("paragraph", "low"))
     para = para.select("doc_id", "copy", "paragraph", F.regexp_extract_all("low", F.lit(r"([a-z0-9]+)"), F.lit(1)).alias("words"))
-    para = para.where(F.exists("words", lambda w: w.isin(ANCHORS))).distinct()
+    # no paragraph without a trigram of a template can be confirmed; words are looked up first, as that is cheap
+    para = para.where(F.exists("words", lambda w: w.isin(ANCHORS)))
+    para = para.where(F.exists(_grams("words", F.lit(3)), lambda g: g.isin(TRIGRAMS))).distinct()
     # equal paragraphs, however many, are read once
     para = para.withColumn("name", F.xxhash64("words"))
     texts = para.groupBy("name").agg(F.first("words").alias("words"))
