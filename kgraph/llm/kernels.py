@@ -6,8 +6,10 @@ few array operations and no Python object is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+import inspect
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -165,11 +167,37 @@ def chosen(r: Runs, take: np.ndarray) -> Runs:
     return Runs(r.hash[take], r.at[take], r.first[take], r.last[take], r.doc[take])
 
 
-def ordered(table: pa.Table) -> pa.Table:
-    """Rows in an order that a second run finds again: by doc_id, then text."""
-    if table.num_rows < 2:
-        return table
-    return table.take(pc.sort_indices(table, [("doc_id", "ascending"), ("text", "ascending")]))
+def tidy() -> None:
+    """Gives freed memory back to the system, so that an idle worker of an earlier stage doesn't hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(f: Callable) -> Callable:
+    """``f`` of one group (or two) or of an iterator of batches, tidied up behind."""
+    args = f.__code__.co_argcount
+    if args == 2:
+
+        def two(rows, more):
+            out = f(rows, more)
+            tidy()
+            return out
+
+        return two
+
+    def one(rows):
+        out = f(rows)
+        tidy()
+        return out
+
+    def each(batches):
+        yield from f(batches)
+        tidy()
+
+    return each if f.__code__.co_flags & inspect.CO_GENERATOR else one
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -190,3 +218,22 @@ def u64(blob: bytes) -> np.ndarray:
 
 def i64(blob: bytes) -> np.ndarray:
     return np.frombuffer(blob, np.int64)
+
+
+def joined(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What links a, b connect: each id but the least of its component, and that least one."""
+    ids, places = np.unique(np.r_[a, b], return_inverse=True)
+    i, j = places[: len(a)], places[len(a) :]
+    label = np.arange(len(ids))
+    while True:
+        x, y = label[i], label[j]
+        low, new = np.minimum(x, y), label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(ids)))
+    return ids[other], ids[label[other]]

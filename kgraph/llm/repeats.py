@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import Runs, i64, ordered, u64
+from .common import opened
+from .kernels import Runs, i64, lean, u64
 
 ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("once", pa.binary()), ("often", pa.binary())])
 ASK_DDL = "bucket int, chunk int, once binary, often binary"
@@ -27,14 +28,14 @@ def recurring(docs: DataFrame, n_chunks: int, anchors: Callable[[pa.Table], tupl
     """(chunk, hashes): the anchors of each chunk that recur in it or lie in another chunk as well.
 
     ``anchors`` gives the hashes of a chunk's anchors and a document (or place) for each; a hash
-    with two of those recurs. ``docs`` has the column chunk.
+    with two of those recurs. ``docs`` is as ``common.chunked`` makes it.
     """
 
     def ask(rows: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return ASK.empty_table()
         chunk = rows.column("chunk")[0].as_py()
-        h, place = anchors(ordered(rows))
+        h, place = anchors(opened(rows))
         order = np.lexsort((place, h))
         h, place = h[order], place[order]
         new = np.r_[True, h[1:] != h[:-1]] if len(h) else np.zeros(0, bool)
@@ -64,8 +65,8 @@ def recurring(docs: DataFrame, n_chunks: int, anchors: Callable[[pa.Table], tupl
                 out.append((chunk, np.concatenate([mine, b]).tobytes()))
         return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(answer_schema)], schema=answer_schema)
 
-    asked = docs.groupBy("chunk").applyInArrow(ask, ASK_DDL)
-    return asked.groupBy("bucket").applyInArrow(answer, "chunk int, hashes binary")
+    asked = docs.groupBy("chunk").applyInArrow(lean(ask), ASK_DDL)
+    return asked.groupBy("bucket").applyInArrow(lean(answer), "chunk int, hashes binary")
 
 
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -141,7 +142,7 @@ def verdicts(stretches: DataFrame, judge: Callable[[list[bytes], np.ndarray, np.
                 out.append((int(chunk[part[0]]), seg[part].astype(np.int64).tobytes(), b"".join(texts), np.array([len(t) for t in texts], np.int64).tobytes()))
         return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(schema)], schema=schema)
 
-    return stretches.where(F.col("kind") == 0).select("bucket", "chunk", "seg", "anchor", "body", "weight").groupBy("bucket").applyInArrow(settle, "chunk int, segs binary, said binary, lengths binary")
+    return stretches.where(F.col("kind") == 0).select("bucket", "chunk", "seg", "anchor", "body", "weight").groupBy("bucket").applyInArrow(lean(settle), "chunk int, segs binary, said binary, lengths binary")
 
 
 def collected(rows: pa.Table) -> tuple[np.ndarray, dict[int, bytes]]:

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import repeats
-from .common import chunk_count, chunked, documents, stored
-from .kernels import byte_prefix, chosen, covered, mix, ordered, powers, runs, sha, slabs
+from .common import chunk_count, chunked, documents, opened, stored
+from .kernels import byte_prefix, chosen, covered, lean, mix, powers, runs, sha, slabs
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 OUT_DDL = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
@@ -137,8 +137,8 @@ def suffix_dedup(docs: DataFrame, least: int = 200, anchor: int = 96, with_bytes
     def stretch(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return repeats.STRETCH.empty_table()
-        rows, known = ordered(rows), repeats.known_of(answers)
         out = repeats.Stretches(rows.column("chunk")[0].as_py(), n, lambda a, b: a + b)
+        rows, known = opened(rows), repeats.known_of(answers)
         for s in slabs(rows.column("doc_id").to_numpy(), rows.column("text")):
             _, r = byte_runs(s)
             r = chosen(r, repeats.among(r.hash, known))
@@ -172,7 +172,7 @@ def suffix_dedup(docs: DataFrame, least: int = 200, anchor: int = 96, with_bytes
     def kept(rows: pa.Table, mine: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return OUT.empty_table()
-        rows = ordered(rows)
+        rows = opened(rows)
         places, said = repeats.collected(mine)
         flags = {seg: np.flatnonzero(np.frombuffer(x, np.uint8)) for seg, x in said.items()}
         out: list[tuple] = []
@@ -190,7 +190,7 @@ def suffix_dedup(docs: DataFrame, least: int = 200, anchor: int = 96, with_bytes
         return pa.Table.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(OUT)], schema=OUT)
 
     answers = repeats.recurring(docs, n, anchors)
-    stretches = stored(docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(stretch, repeats.STRETCH_DDL), "stretches")
+    stretches = stored(docs.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean(stretch), repeats.STRETCH_DDL), "stretches")
     back = repeats.returned(stretches, repeats.verdicts(stretches, judge))
-    done = docs.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(kept, OUT_DDL)
+    done = docs.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(lean(kept), OUT_DDL)
     return done if with_bytes else done.drop("kept")

@@ -101,3 +101,32 @@ def test_suffix_order_and_common_prefixes():
         flags = repeated_starts(texts, np.ones(len(texts), np.int64), 3)
         seen = Counter(t[k : k + 3] for t in texts for k in range(len(t) - 2))
         assert [f.tolist() for f in flags] == [[seen[t[k : k + 3]] > 1 for k in range(max(0, len(t) - 2))] for t in texts]
+
+
+def test_nothing_goes_without_the_automaton():
+    import pyarrow as pa
+
+    from kgraph.llm.kernels import slabs
+    from kgraph.llm.substring_dedup import compiled, covered_words, digest
+
+    text = " ".join(f"w{i}" for i in range(17))
+    s = next(slabs(np.array([5]), pa.array([f"a b c {text} d e f"])))
+    words = s.data.tobytes().split()
+    # every passage of every phrase counts as confirmed, so that the winnowed one is among them
+    known = {digest(b" ".join(words[i:j])): np.full(j - i - 12, 1) for i in range(len(words)) for j in range(i + 13, len(words) + 1)}
+    phrases = b"\n".join(b" ".join(words[i : i + 5]) for i in range(len(words) - 4))
+    gone, first = covered_words(s, compiled(phrases, 5), known, 13, 5)
+    assert gone.all() and first.tolist() == [0, 23]
+    assert not covered_words(s, compiled(b"", 5), known, 13, 5)[0].any()
+    assert not covered_words(s, compiled(phrases, 5), {}, 13, 5)[0].any()
+
+
+def test_a_text_longer_than_a_slab(spark):
+    from kgraph.llm.kernels import SLAB
+
+    rng = random.Random(2)
+    long = " ".join(str(rng.randint(0, 10**6)) for _ in range(SLAB // 5))
+    rows = [(1, long, "", "", 0), (2, "x y z " + long[:300_000], "", "", 0), (3, long, "", "", 0)]
+    df = spark.createDataFrame(rows, DDL)
+    assert sorted(map(tuple, substring_dedup(df, with_text=False).collect())) == by_words(rows)
+    assert sorted(map(tuple, suffix_dedup(df, with_bytes=False).collect())) == by_bytes(rows)
