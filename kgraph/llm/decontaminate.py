@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernels import LOWER, NOT_ALNUM, Slab, covered, slabs, word_bounds, word_hashes
+from .kernels import LOWER, NOT_ALNUM, Slab, covered, lean, slabs, word_bounds, word_hashes
 
 #: Text of one block of the test set, in bytes; each block is broadcast by itself.
 BLOCK_BYTES = 16 << 20
@@ -169,7 +169,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         block = block_of(0)
         if keep:
             return _kept(rows, block)
-        return rows.select("doc_id", "text").mapInArrow(_digests(block), OUT_DDL)
+        return rows.select("doc_id", "text").mapInArrow(lean(_digests(block)), OUT_DDL)
     found = None
     for k in range(n_blocks):
         part = rows.select("doc_id", "copy", "text").mapInArrow(_found(block_of(k)), FOUND_DDL)
@@ -232,4 +232,4 @@ def _kept(rows: DataFrame, block) -> DataFrame:
                 keep[s.first : s.first + len(s.ids)] = [not x for x in spans]
             yield pa.RecordBatch.from_struct_array(b.column("row").filter(pa.array(keep)))
 
-    return rows.select("doc_id", "text", "row").mapInArrow(work, rows.schema["row"].dataType)
+    return rows.select("doc_id", "text", "row").mapInArrow(lean(work), rows.schema["row"].dataType)

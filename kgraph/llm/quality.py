@@ -2,9 +2,10 @@
 
 Texts become some thirty numbers on their signs, words and lines, in one pass over whole texts.
 Documents labelled 1 in the learning folds are the trusted positives; all texts of those folds
-together, labels unseen, are the unlabelled web text. The class prior is the share of label 1 among the labelled rows of the
-learning folds, shrunk by one pseudo-row of each kind. A small network minimises the non-negative
-unbiased risk (Kiryo et al., 2017): prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]), logistic loss.
+together, labels unseen, are the unlabelled web text. Label 0 is never read. The class prior is estimated from those two
+kinds of rows: networks that tell positives from unlabelled rows score the thirds they weren't fitted on,
+and the prior is the least share of unlabelled over the share of positives above one score, where that
+is surest (best-bin estimation, Garg et al., 2021), less the sampling error. A second network minimises the non-negative unbiased risk (Kiryo et al., 2017): prior * E_p[l(f)] + max(0, E_u[l(-f)] - prior * E_p[l(-f)]), logistic loss.
 
 The fit uses at most ``positives`` and ``unlabelled`` rows, the first by a hash of doc_id, so that a
 model's size and time don't grow with the corpus; every text is scored.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, stored
-from .kernels import Slab, grams, slabs, word_bounds, word_hashes
+from .kernels import Slab, grams, lean, slabs, word_bounds, word_hashes
 
 #: Groups of ASCII signs whose shares are features.
 GROUPS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "stop": b".,;:", "shout": b"!?", "odd": b"#$%&*+=@^~\\", "bar": b"|/_", "bracket": b"()[]{}<>", "quote": b"\"'`-", "space": b" \t", "line": b"\n\r\v\f"}
@@ -84,7 +85,7 @@ def feature_rows(docs: DataFrame) -> DataFrame:
             for s in slabs(b.column("doc_id").to_numpy(), b.column("text")):
                 yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array([x.tobytes() for x in features(s)], pa.binary())], schema=schema)
 
-    return documents(docs).mapInArrow(work, "doc_id long, features binary")
+    return documents(docs).mapInArrow(lean(work), "doc_id long, features binary")
 
 
 class PuModel:
@@ -94,27 +95,45 @@ class PuModel:
         self.hidden, self.seed = hidden, seed
         self.prior, self.parts = 0.5, None
 
-    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 1000, batch: int = 2048, rate: float = 0.01) -> PuModel:
-        self.prior = prior
+    def fit(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, steps: int = 1000, batch: int = 2048, rate: float = 0.01) -> PuModel:
+        """Without a ``prior`` it is estimated first."""
         if not len(positive) or not len(unlabelled):
             return self
-        rng = np.random.default_rng(self.seed)
         both = np.concatenate([positive, unlabelled]).astype(np.float64)
         self.mean, self.std = both.mean(0), both.std(0) + 1e-6
         p, u = self._scaled(positive), self._scaled(unlabelled)
+        if prior is None:
+            prior = self._estimated(p, u, max(150, steps // 5), batch, rate)
+        self.prior = float(np.clip(prior, 0.01, 0.99))
+        start = np.log(self.prior / (1 - self.prior))
+        self.parts = self._descend(p, u, start, lambda f, n: risk_slope(f, n, self.prior), steps, batch, rate)
+        return self
+
+    def _estimated(self, p: np.ndarray, u: np.ndarray, steps: int, batch: int, rate: float) -> float:
+        if len(p) < 6 or len(u) < 6:
+            return 0.5
+        f_p, f_u = np.empty(len(p)), np.empty(len(u))
+        mine, others = np.arange(len(p)) % 3, np.arange(len(u)) % 3
+        for k in range(3):
+            self.parts = self._descend(p[mine != k], u[others != k], 0.0, told_apart, steps, batch, rate)
+            f_p[mine == k], f_u[others == k] = self._logits(p[mine == k]), self._logits(u[others == k])
+        cuts = np.sort(f_p)
+        q_p = 1 - np.arange(len(cuts)) / len(cuts)
+        q_u = 1 - np.searchsorted(np.sort(f_u), cuts, "left") / len(f_u)
+        doubt = 1.01 * (np.sqrt(np.log(40) / 2 / len(f_u)) + np.sqrt(np.log(40) / 2 / len(f_p)))
+        best = int(np.argmin((q_u + doubt) / q_p))
+        # the lower end of what the sample of unlabelled rows allows: a prior too high hides negatives
+        return float(q_u[best] / q_p[best] - np.sqrt(np.log(40) / 2 / len(f_u)))
+
+    def _descend(self, p: np.ndarray, u: np.ndarray, start: float, slope_of, steps: int, batch: int, rate: float) -> list[np.ndarray]:
+        rng = np.random.default_rng(self.seed)
         d = p.shape[1]
-        w = [rng.normal(0, d**-0.5, (d, self.hidden)), np.zeros(self.hidden), rng.normal(0, self.hidden**-0.5, self.hidden), np.array(np.log(prior / (1 - prior)))]
+        w = [rng.normal(0, d**-0.5, (d, self.hidden)), np.zeros(self.hidden), rng.normal(0, self.hidden**-0.5, self.hidden), np.array(float(start))]
         m, v = [np.zeros_like(x) for x in w], [np.zeros_like(x) for x in w]
         for t in range(1, steps + 1):
             x = np.concatenate([p[rng.integers(0, len(p), batch)], u[rng.integers(0, len(u), batch)]])
             a = np.tanh(x @ w[0] + w[1])
-            f = a @ w[2] + w[3]
-            up = 1 / (1 + np.exp(-np.clip(f, -30, 30)))  # the slope of l(-f); that of l(f) is up - 1
-            negative = np.logaddexp(0, f[batch:]).mean() - prior * np.logaddexp(0, f[:batch]).mean()
-            if negative >= 0:
-                slope = np.concatenate([prior * (up[:batch] - 1) - prior * up[:batch], up[batch:]]) / batch
-            else:  # the estimate of the negatives' risk fell under 0: step back from it
-                slope = np.concatenate([prior * up[:batch], -up[batch:]]) / batch
+            slope = slope_of(a @ w[2] + w[3], batch)
             back = np.outer(slope, w[2]) * (1 - a * a)
             grad = [x.T @ back + 1e-4 * w[0], back.sum(0), a.T @ slope + 1e-4 * w[2], slope.sum()]
             step = rate * min(1.0, 3 * (1 - t / (steps + 1)))
@@ -122,8 +141,7 @@ class PuModel:
                 m[i] = 0.9 * m[i] + 0.1 * g
                 v[i] = 0.999 * v[i] + 0.001 * g * g
                 w[i] = w[i] - step * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-        self.parts = w
-        return self
+        return w
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x.astype(np.float64) - self.mean) / self.std, -8, 8)
@@ -131,8 +149,30 @@ class PuModel:
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.parts is None:
             return np.full(len(x), self.prior)
-        a = np.tanh(self._scaled(x) @ self.parts[0] + self.parts[1])
-        return 1 / (1 + np.exp(-np.clip(a @ self.parts[2] + self.parts[3], -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self._logits(self._scaled(x)), -30, 30)))
+
+    def _logits(self, scaled: np.ndarray) -> np.ndarray:
+        return np.tanh(scaled @ self.parts[0] + self.parts[1]) @ self.parts[2] + self.parts[3]
+
+
+def risk(f: np.ndarray, n: int, prior: float) -> tuple[float, float]:
+    """The positives' share of the risk and the estimate of the negatives', of logits of n positives and then unlabelled rows."""
+    return prior * np.logaddexp(0, -f[:n]).mean(), np.logaddexp(0, f[n:]).mean() - prior * np.logaddexp(0, f[:n]).mean()
+
+
+def risk_slope(f: np.ndarray, n: int, prior: float) -> np.ndarray:
+    """Where to go down from: the slope of the whole risk, or, once the negatives' estimate has fallen
+    under 0, the reverse of that estimate's."""
+    up = 1 / (1 + np.exp(-np.clip(f, -30, 30)))  # the slope of l(-f); that of l(f) is up - 1
+    if risk(f, n, prior)[1] >= 0:
+        return np.concatenate([-prior * np.ones(n) / n, up[n:] / (len(f) - n)])
+    return np.concatenate([prior * up[:n] / n, -up[n:] / (len(f) - n)])
+
+
+def told_apart(f: np.ndarray, n: int) -> np.ndarray:
+    """The slope of the logistic loss that tells n positives from the rows behind them, both kinds of equal weight."""
+    up = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+    return np.concatenate([(up[:n] - 1) / n, up[n:] / (len(f) - n)])
 
 
 def held_out(doc_id="doc_id"):
@@ -153,13 +193,12 @@ def train(rows: DataFrame, labels: DataFrame, positives: int = 20_000, unlabelle
     """Fits on at most so many rows of each kind. ``rows``: doc_id, features."""
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     marks = marks.groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high")).where("low = high").select("doc_id", F.col("high").alias("quality"))
-    n, ones = marks.agg(F.count("*"), F.coalesce(F.sum("quality"), F.lit(0))).first()
     order = F.xxhash64("doc_id", F.lit(11))
     rows = rows.where(~held_out())
     trusted = rows.join(marks.where("quality = 1"), "doc_id", "left_semi")
     taken = [first_rows(x, order, k) for x, k in ((trusted, positives), (rows, unlabelled))]
     p, u = (np.frombuffer(b"".join(bytes(r["features"]) for r in t), np.float32).reshape(-1, N_FEATURES) for t in taken)
-    return PuModel().fit(p, u, (ones + 1) / (n + 2) if ones else 0.5)
+    return PuModel().fit(p, u)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, positives: int = 20_000, unlabelled: int = 40_000) -> DataFrame:
@@ -174,21 +213,22 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, p
                 x = np.frombuffer(b"".join(b.column("features").to_pylist()), np.float32).reshape(-1, N_FEATURES)
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.score(x))], schema=schema)
 
-    scored = rows.mapInArrow(work, "doc_id long, score double")
+    scored = rows.mapInArrow(lean(work), "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, positives: int = 20_000, unlabelled: int = 40_000) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, every column as it was."""
-    rows = feature_rows(docs)
-    model = train(stored(rows, "features"), labels, positives, unlabelled)
-    shape = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*docs.columns).alias("row")).where(F.col("doc_id").isNotNull())
+    model = train(stored(feature_rows(docs), "features"), labels, positives, unlabelled)
+    shape = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*docs.columns).alias("row"))
+    place = docs.columns.index("text")
 
     def work(batches):
         for b in batches:
-            keep = np.zeros(b.num_rows, bool)
-            for s in slabs(b.column("doc_id").to_numpy(), b.column("text")):
+            row = b.column("row")
+            keep = np.zeros(len(row), bool)
+            for s in slabs(np.arange(len(row)), row.field(place).cast(pa.string())):
                 keep[s.first : s.first + len(s.ids)] = model.score(features(s)) >= threshold
-            yield pa.RecordBatch.from_struct_array(b.column("row").filter(pa.array(keep)))
+            yield pa.RecordBatch.from_struct_array(row.filter(pa.array(keep)))
 
-    return shape.mapInArrow(work, shape.schema["row"].dataType)
+    return shape.mapInArrow(lean(work), shape.schema["row"].dataType)
