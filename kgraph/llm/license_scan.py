@@ -8,6 +8,9 @@ weights never saw calibrates the probabilities; a paragraph is of no known famil
 reaches ``least``. A prediction stands only if the paragraph shares enough word trigrams with one of the
 family's templates. A paragraph without a trigram of any template can't be confirmed, so it is left out before n-grams are made.
 
+A paragraph is a line, or lines wrapped at a width of 50 to 100 characters: one of that length that ends in
+no full stop, colon or the like goes on in the next.
+
 Defined results: null and empty texts have no paragraphs and no family; equal paragraphs each count;
 rows that repeat a doc_id and its text are one document; rows without a doc_id are left out; an empty
 table gives no rows.
@@ -156,11 +159,16 @@ def _grams(words: str, n: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def unwrapped(text: Column) -> Column:
+    """The text with wrapped lines joined, one line a paragraph."""
+    return F.regexp_replace(text, r"(?:^|(?<=\n))([^\n]{49,99}[^\n.!?:;])\n(?=[^\n])", "$1 ")
+
+
 def license_paragraphs(docs: DataFrame, least: float = 0.6, shared: float = 0.5) -> DataFrame:
     """Per paragraph with a trigram of a template and a likely family: doc_id, copy, paragraph, family, probability, overlap, confirmed."""
     spark, m = docs.sparkSession, model()
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("copy"), F.lower("text").alias("low"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("copy"), F.lower(unwrapped(F.col("text"))).alias("low"))
     para = rows.select("doc_id", "copy", F.posexplode(F.split("low", r"\n")).alias("paragraph", "low"))
     para = para.select("doc_id", "copy", "paragraph", F.regexp_extract_all("low", F.lit(r"([a-z0-9]+)"), F.lit(1)).alias("words"))
     # no paragraph without a trigram of a template can be confirmed; words are looked up first, as that is cheap
@@ -195,5 +203,5 @@ def license_scan(docs: DataFrame, least: float = 0.6, shared: float = 0.5) -> Da
     per = found.groupBy("doc_id", "copy").agg(F.count("*").alias("n_licensed"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability"))
     text = F.col("text").cast("string")
     # the count of paragraphs is made before the join, so that no text is shuffled
-    slim = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(text, "\n"), lambda x: F.trim(x) != ""))).cast("long").alias("n_paragraphs"))
+    slim = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), F.when(text.isNull(), 0).otherwise(F.size(F.filter(F.split(unwrapped(text), "\n"), lambda x: F.trim(x) != ""))).cast("long").alias("n_paragraphs"))
     return slim.join(per, ["doc_id", "copy"], "left").select("doc_id", "n_paragraphs", F.coalesce("n_licensed", F.lit(0)).cast("long").alias("n_licensed"), F.coalesce("families", F.lit("")).alias("families"), "probability")

@@ -92,3 +92,41 @@ def test_notices_without_a_word_of_licences(spark):
     got = {r.doc_id: r.families for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "cc-by-sa-4.0", 2: "cc-by-nc-4.0", 3: "bsd", 4: ""}
     assert all(set(w[i : i + 3]) & set(L.ANCHORS) for ts in L.TEMPLATES.values() for t in ts for w in [L.words_of(t)] for i in range(max(1, len(w) - 2)))
+
+
+def test_risk_and_its_slope():
+    import numpy as np
+
+    from kgraph.llm.quality import PuModel, risk, risk_slope, told_apart
+
+    rng = np.random.default_rng(1)
+    for prior, shift in ((0.3, 2.0), (0.7, 1.0), (0.5, -4.0)):
+        f = np.r_[rng.normal(1, 1, 7), rng.normal(-shift, 1, 9)]
+        l = lambda z: [math.log(1 + math.exp(-x)) for x in z]  # noqa: E731, E741
+        mean = lambda z: sum(z) / len(z)
+        gain, rest = prior * mean(l(f[:7])), mean(l(-f[7:])) - prior * mean(l(-f[:7]))
+        assert risk(f, 7, prior) == pytest.approx((gain, rest))
+        slope = risk_slope(f, 7, prior)
+        for i in range(len(f)):
+            up, down = f.copy(), f.copy()
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            whole = lambda z: sum(risk(z, 7, prior)) if rest >= 0 else -risk(z, 7, prior)[1]  # noqa: E731, B023
+            assert slope[i] == pytest.approx((whole(up) - whole(down)) / 2e-5, abs=1e-6)
+            apart = lambda z: mean(l(z[:7])) + mean(l(-z[7:]))
+            assert told_apart(f, 7)[i] == pytest.approx((apart(up) - apart(down)) / 2e-5, abs=1e-6)
+    # the prior is found without a negative label
+    for prior in (0.25, 0.6):
+        p = rng.normal(1.5, 1, (3000, 30))
+        u = np.concatenate([rng.normal(1.5, 1, (int(8000 * prior), 30)), rng.normal(-1.5, 1, (int(8000 * (1 - prior)), 30))])
+        assert PuModel().fit(p, u).prior == pytest.approx(prior, abs=0.1)
+
+
+def test_wrapped_notices_are_one_paragraph(spark):
+    import textwrap
+
+    mit = next(t for t in L.TEMPLATES["mit"] if len(t) > 150)
+    rows = [(1, "Some words of another kind.\n" + textwrap.fill(mit, 72) + "\nThe end of it."), (2, mit), (3, "One line.\nTwo lines."), (4, "\n".join(["a word " * 10] * 3))]
+    got = {r.doc_id: r for r in L.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1].n_paragraphs, got[1].n_licensed, got[1].families) == (3, 1, "mit")
+    assert got[1].probability == got[2].probability and [got[i].n_paragraphs for i in (2, 3, 4)] == [1, 2, 1]
