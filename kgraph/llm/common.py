@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_folder
 
-__all__ = ["CHUNK_BYTES", "chunk_count", "chunked", "cut", "documents", "opened", "partitions", "shared_folder", "size_of", "stored", "table"]
+__all__ = ["CHUNK_BYTES", "chunk_count", "chunked", "cut", "documents", "opened", "partitions", "shared_folder", "size_of", "stored", "swept", "table"]
 
 #: Bytes of a table (as its files hold it) that one chunk of documents may take.
 CHUNK_BYTES = 8 << 20
@@ -33,9 +33,16 @@ def stored(df: DataFrame, name: str, codec: str = "zstd", **options) -> DataFram
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).options(**options).parquet(path)
+    swept(spark)
     return spark.read.parquet(path)
 
 
+def swept(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop shuffle files that nothing refers to any more: it only learns of them when
+    the driver collects garbage, which a small driver with a long job may not do for hours."""
+    spark._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -36,7 +36,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = dedup_lines(table(spark, sf_dir, "documents"), similarity=0.8, radius=3, bands=12)
+    lines = dedup_lines(table(spark, sf_dir, "documents"), similarity=0.8, radius=3, bands=14)
     return lines.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 

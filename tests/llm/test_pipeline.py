@@ -51,3 +51,22 @@ def test_stages(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, DIR).count() > 0
+
+
+def test_odd_rows(spark):
+    """Nulls, empty texts, repeated rows and clashing columns pass the stages that keep documents."""
+    ddl = "doc_id long, text string, lang string, source string, n_chars int, n_lines string, n_removed int, chunk int, copy long, rep string, label int"
+    long = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, None, "en", None, None, "a", 1, 2, 3, "x", 4), (2, "", "en", "s", 0, "b", 1, 2, 3, "x", 4), (3, long, "en", "s", 9, "c", 1, 2, 3, None, 4), (3, long, "en", "s", 9, "c", 1, 2, 3, None, 4), (3, "other text", "en", "s", 9, "d", 1, 2, 3, None, 4), (4, long + " more", "en", "s", 9, "e", 1, 2, 3, None, 4), (None, "x", "en", "s", 1, "f", 1, 2, 3, "x", 4)]
+    for docs in (spark.createDataFrame(rows, ddl), spark.createDataFrame([], ddl)):
+        for name, f in corpus_pipeline.STAGES[:-1]:
+            docs = stored(f(spark, docs, DIR), "odd")
+            assert docs.columns == [c.split()[0] for c in ddl.split(", ")], name
+        got = {r.doc_id: r for r in docs.collect()}
+        assert None not in got and all(r.n_lines in "abcde" and r.n_removed == 1 for r in got.values())
+        assert corpus_pipeline.packing(spark, docs, DIR).count() >= len(got)
+    docs = spark.createDataFrame(rows, ddl)
+    lines = {(r.doc_id, r.text): r.n_chars for r in corpus_pipeline.line_dedup(spark, docs, DIR).collect()}
+    assert lines == {(1, None): None, (2, ""): 0, (3, long): 9, (3, "other text"): 9}
+    kept = corpus_pipeline.jaccard_join(spark, docs, DIR).collect()
+    assert sorted((r.doc_id, r.n_lines) for r in kept) == [(1, "a"), (2, "b"), (3, "d")]
