@@ -1,15 +1,16 @@
 """A training-text pipeline over ``documents``: each stage works on all that the one before kept.
 
 Rows without a doc_id are no documents and end at the first stage. Rows that share a doc_id are one
-document to the near-duplicate stage, which keeps one of them. Extra columns pass through all stages
+document to the near-duplicate stage, which keeps one of them, the first by text. Extra columns pass through all stages
 but the last, which returns the pieces of packed sequences.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kgraph.llm.common import stored, table
@@ -21,6 +22,11 @@ from kgraph.llm.quality import accepted
 from kgraph.llm.queries import vocabulary
 
 
+def _fresh() -> str:
+    """A column name that no input has."""
+    return f"_{uuid.uuid4().hex}"
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labels of this corpus, scores 0.3 or more."""
     return accepted(docs, table(spark, sf_dir, "labels"))
@@ -29,9 +35,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines that stand elsewhere already. A document that loses all its lines goes;
     n_chars, where there is such a column, follows the text."""
-    lines = dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    total, gone = _fresh(), _fresh()
+    lines = dedup_lines(docs, counts=(total, gone)).where((F.col(gone) == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     if "n_chars" in docs.columns:
-        lines = lines.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        lines = lines.withColumn("n_chars", F.when(F.col(gone) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return lines.select(*docs.columns)
 
 
@@ -39,10 +46,12 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The document with the least doc_id of each group linked by five-word shingles at 0.8 or more.
     At this threshold a set sends twice as many keys as at 0.9, and stages write denser files: smaller chunks."""
     groups = stored(jaccard_components(docs, k=5, num=80, den=100, chunk_bytes=2 << 20), "groups")
-    ids = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").cast("long") == F.col("_id"), "left_semi")
+    own = _fresh()
+    ids = groups.where("doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    kept = docs.join(ids, F.col("doc_id").cast("long") == F.col(own), "left_semi")
     if groups.count() != groups.select("doc_id").distinct().count():
-        kept = kept.dropDuplicates(["doc_id"])
+        first = Window.partitionBy("doc_id").orderBy("text", F.xxhash64(*docs.columns))
+        kept = kept.withColumn(own, F.row_number().over(first)).where(F.col(own) == 1)
     return kept.select(*docs.columns)
 
 
