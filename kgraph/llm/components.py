@@ -42,7 +42,7 @@ def _lows(edges: DataFrame) -> DataFrame:
 
 
 #: Rows from which on a step's files get another partition.
-ROWS = 50_000
+ROWS = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -56,11 +56,14 @@ def components(edges: DataFrame) -> DataFrame:
         few = max(1, min(partitions(spark), -(-2 * mark[0] // ROWS)))
         edges = edges.coalesce(few)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = cut(_lows(both).coalesce(few))
-        large = joined_by(both, low.select("a", F.least("a", "low").alias("low")), "a", low.select("a", "n"))
+        # a task holds that many rows anyway: without a second partition there are no hubs to part
+        low = cut(_lows(both).coalesce(few)) if few > 1 else _lows(both)
+        lows = low.select("a", F.least("a", "low").alias("low"))
+        large = joined_by(both, lows, "a", low.select("a", "n")) if few > 1 else both.join(lows, "a")
         large = cut(large.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a != b").distinct().coalesce(few))
-        low = cut(_lows(large).coalesce(few))
-        small = joined_by(large, low.select("a", "low"), "a", low.select("a", "n")).where(F.col("b") != F.col("low"))
+        low = cut(_lows(large).coalesce(few)) if few > 1 else _lows(large)
+        lows = low.select("a", "low")
+        small = (joined_by(large, lows, "a", low.select("a", "n")) if few > 1 else large.join(lows, "a")).where(F.col("b") != F.col("low"))
         small = small.select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(low.select("a", F.col("low").alias("b")))
         edges = cut(small.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().coalesce(few))
         now = _mark(edges)

@@ -23,6 +23,7 @@ import random
 import re
 from functools import lru_cache
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +69,14 @@ ANCHORS = _anchors()
 TRIGRAMS = sorted({" ".join(w[i : i + 3]) for ts in TEMPLATES.values() for t in ts for w in [words_of(t)] for i in range(max(1, len(w) - 2))})
 
 
+def _hash(words: list[str]) -> int:
+    """Spark's xxhash64 of words as columns."""
+    seed = 42
+    for w in words:
+        seed = xxhash.xxh64_intdigest(w.encode(), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
 def _variants(rng: random.Random, words: list[str], times: int) -> list[list[str]]:
     syllables = ["er", "tion", "an", "re", "st", "in", "ou", "le", "ba", "ch"]
     other = lambda n: ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(n)]
@@ -170,10 +179,14 @@ def license_paragraphs(docs: DataFrame, least: float = 0.6, shared: float = 0.5)
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("copy"), F.lower(unwrapped(F.col("text"))).alias("low"))
     para = rows.select("doc_id", "copy", F.posexplode(F.split("low", r"\n")).alias("paragraph", "low"))
-    para = para.select("doc_id", "copy", "paragraph", F.regexp_extract_all("low", F.lit(r"([a-z0-9]+)"), F.lit(1)).alias("words"))
+    para = para.select("doc_id", "copy", "paragraph", F.array_remove(F.split(F.regexp_replace("low", "[^a-z0-9]+", " "), " "), "").alias("words"))
     # no paragraph without a trigram of a template can be confirmed; words are looked up first, as that is cheap
-    para = para.where(F.exists("words", lambda w: w.isin(ANCHORS)))
-    para = para.where(F.exists(_grams("words", F.lit(3)), lambda g: g.isin(TRIGRAMS))).distinct()
+    para = para.where(F.arrays_overlap("words", F.array(*map(F.lit, ANCHORS))))
+    # words are bound to a variable of the outer transform: as a column, the optimizer would put what makes
+    # them into the inner one, to be done again for each word
+    three = lambda w: F.transform(F.sequence(F.lit(2), F.greatest(F.size(w) - 1, F.lit(2))), lambda i: F.xxhash64(F.get(w, i - 2), F.get(w, i - 1), F.get(w, i)))
+    tri = F.get(F.transform(F.array("words"), three), F.lit(0))
+    para = para.where(F.arrays_overlap(tri, F.array(*[F.lit(_hash(t.split(" "))) for t in TRIGRAMS]))).distinct()
     # equal paragraphs, however many, are read once
     para = para.withColumn("name", F.xxhash64("words"))
     texts = para.groupBy("name").agg(F.first("words").alias("words"))
