@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.text import casefold, collapse, jaccard, match_key, plain, similarity_name, strip_titles, tokens
+from ..functions.text import casefold, collapse, content_tokens, jaccard, match_key, plain, similarity_name, strip_titles, tokens
+from ..sources.shared import cut
 
 
 def dedup_mentions(mentions: DataFrame) -> DataFrame:
@@ -53,8 +54,10 @@ def fuzzy_pairs(names: DataFrame, least: float, gram: int = 3) -> DataFrame:
     """a, b, name_a, name_b, score for pairs of names(id, name, type) of one type whose normalised names
     are alike. Names meet by a common trigram and by size. For ``least`` of 0.88 or more that loses none:
     n letters with e edits, e <= 0.12 n, keep a run of (n - e) / (e + 1) >= 3 letters from n = 5 on.
-    Four letters against five meet by two letters. Distinct normalised names are compared, not rows: the
+    A lower ``least`` is refused. Four letters against five meet by two letters. Distinct normalised names are compared, not rows: the
     least id of equal ones stands for its class, and each other id of the class has a pair with it, of score 1."""
+    if least < 0.88:
+        raise ValueError("names under 0.88 need not share a trigram")
     n = names.withColumn("norm", similarity_name(strip_titles(F.col("name")))).where("norm IS NOT NULL")
     distinct = n.groupBy("type", "norm").agg(F.min("id").alias("id"), F.min_by("name", "id").alias("name"))
 
@@ -96,7 +99,7 @@ def resolve(names: DataFrame, least: float = 0.96, gram: int = 3) -> DataFrame:
     sure = near.where("same").select("a", "b") if least <= 0.98 else near.limit(0).select("a", "b")
     rest = near.where(~F.col("same") & ~F.contains("x", F.col("y")) & ~F.contains("y", F.col("x")))
     rest = rest.where(F.greatest(ratio("x", "y"), F.col("shared")) >= least).select("a", "b")
-    led = leaders(sure.unionByName(rest).checkpoint(), reps.select(F.col("rep").alias("id"))).select(F.col("id").alias("rep"), "leader")
+    led = leaders(cut(sure.unionByName(rest)), reps.select(F.col("rep").alias("id"))).select(F.col("id").alias("rep"), "leader")
     members = n.join(reps.select("type", "norm", "rep"), ["type", "norm"], "left").select("id", "rep")
     return members.join(led, "rep", "left").select("id", F.coalesce("leader", "id").alias("leader"))
 
@@ -108,13 +111,14 @@ def leaders(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     state = nodes.select("id").join(both.select("id").distinct(), "id", "left_semi").withColumn("leader", F.lit(None).cast("string"))
     own = nodes.select("id", F.col("id").alias("leader")).join(state, "id", "left_anti")
     settled = own.join(both.select(F.col("first").alias("id")).distinct(), "id", "left_semi")
-    done, open_ = settled, state.select("id").checkpoint()
+    done, open_ = settled, cut(state.select("id"))
     while not open_.isEmpty():
         seen = both.join(open_, "id").join(done.select(F.col("id").alias("first"), "leader"), "first", "left")
         least = seen.groupBy("id").agg(F.min(F.when(F.col("leader") == F.col("first"), F.col("first"))).alias("lead"), F.min(F.when(F.col("leader").isNull(), F.col("first"))).alias("wait"))
-        ready = least.where("wait IS NULL OR lead < wait").select("id", F.coalesce("lead", "id").alias("leader")).checkpoint()
-        done = done.unionByName(ready).checkpoint()
-        open_ = open_.join(ready, "id", "left_anti").checkpoint()
+        ready = least.where("wait IS NULL OR lead < wait").select("id", F.coalesce("lead", "id").alias("leader"))
+        ready = cut(ready)
+        done = cut(done.unionByName(ready))
+        open_ = cut(open_.join(ready, "id", "left_anti"))
     return own.join(done, "id", "left_anti").unionByName(done)
 
 
@@ -162,3 +166,62 @@ def seeds(nodes: DataFrame, query: str, keep: int = 2, floor: int = 40) -> DataF
     top = scored.orderBy(F.desc("score"), F.length("name"), "id").limit(25)
     best = F.max("score").over(Window.partitionBy())  # over 25 rows at most
     return top.withColumn("best", best).where(F.col("score") >= F.col("best") - 12).orderBy(F.desc("score"), F.length("name"), "id").limit(keep).drop("best")
+
+
+def alias_names(groups: DataFrame, terms: DataFrame) -> DataFrame:
+    """term, alias: the other names in the groups(group_id, name) that a term (terms: term) is in, all normalised."""
+    g = groups.select("group_id", plain(F.col("name")).alias("alias")).where("alias != ''").distinct()
+    own = terms.select("term", plain(F.col("term")).alias("alias")).join(g, "alias").select("term", F.col("alias").alias("self"), "group_id")
+    return own.join(g, "group_id").where("alias != self").select("term", "alias").distinct()
+
+
+def search_cascade(nodes: DataFrame, query: str, aliases: dict[str, str] | None = None, kind: str | None = None, least: float = 0.65) -> DataFrame:
+    """id, name, tier, score: alias, else exact, else substring, else alike names; only the first tier that has any.
+    The last tier compares only where no node is in an earlier one, and only names whose length can reach ``least``."""
+    q = similarity_name(strip_titles(F.lit(query)))
+    name = similarity_name(strip_titles(F.col("name")))
+    rows = nodes.where(F.lower("type") == kind.lower()) if kind else nodes
+    rows = rows.withColumn("_n", name).withColumn("_q", q)
+    alias = {k.lower(): v for k, v in (aliases or {}).items()}.get(query.strip().lower())
+    first = F.lit(False) if alias is None else F.col("name") == alias
+    hits = rows.withColumn("tier", F.when(first, 1).when(F.col("_n") == F.col("_q"), 2).when(F.contains("_n", F.col("_q")), 3)).where("tier IS NOT NULL")
+    best = hits.agg(F.min("tier").alias("best"))  # one row
+    sure = hits.join(F.broadcast(best), F.col("tier") == F.col("best")).select("id", "name", "tier", F.lit(1.0).alias("score"))
+    small, large = F.least(F.length("_n"), F.length("_q")), F.greatest(F.length("_n"), F.length("_q"))
+    rest = rows.join(F.broadcast(best.where("best IS NULL")), F.lit(True)).where(2 * small >= least * (small + large))
+    rest = rest.withColumn("score", ratio("_q", "_n")).where(F.col("score") >= least)
+    return sure.unionByName(rest.select("id", "name", F.lit(4).alias("tier"), "score"))
+
+
+#: Letters with marks and those they stand for, where a decomposition has the plain letter first.
+ACCENTS = ("àáâãäåāăąçćĉċčďèéêëēĕėęěĝğġģĥìíîïĩīĭįĵķĺļľñńņňòóôõöōŏőŕŗřśŝşšţťùúûüũūŭůűųŵýÿŷźżž", "aaaaaaaaacccccdeeeeeeeeegggghiiiiiiiijklllnnnnoooooooorrrssssttuuuuuuuuuuwyyyzzz")
+
+
+def search_accents(nodes: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """id, name, score: 1 equal, 0.9 the name holds the query, 0.85 the query the name, else the share of common
+    tokens; case, accents and punctuation don't count."""
+    def norm(c: Column) -> Column:
+        return F.trim(F.regexp_replace(F.translate(casefold(c), *ACCENTS), "[^a-z0-9]+", " "))
+
+    n, q = norm(F.col("name")), norm(F.lit(query))
+    score = F.when(n == q, 1.0).when(F.contains(n, q), 0.9).when(F.contains(q, n), 0.85).otherwise(jaccard(tokens(n), tokens(q)))
+    return nodes.select("id", "name", F.round(score, 4).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(limit)
+
+
+def fallback_terms(question: Column, generic: list[str], most: int = 4) -> Column:
+    """The first content tokens of a question that aren't generic."""
+    return F.slice(F.filter(content_tokens(question), lambda t: ~t.isin(generic)), 1, most)
+
+
+def resolve_terms(nodes: DataFrame, terms: list[str], default: str | None = None, keep: int = 2) -> DataFrame:
+    """ord, term, id, name, score: the seeds of each term, each entity under the first term that has it; those of
+    ``default`` if no term has any. As many small searches as there are terms of one question."""
+    found = None
+    for i, term in enumerate([*dict.fromkeys(terms), *([default] if default else [])]):
+        part = seeds(nodes, term, keep).select(F.lit(i).alias("ord"), F.lit(term).alias("term"), "id", "name", "score")
+        found = part if found is None else found.unionByName(part)
+    own = found.withColumn("_r", F.row_number().over(Window.partitionBy("id").orderBy("ord"))).where("_r = 1").drop("_r")
+    if default:
+        some = own.agg(F.min("ord").alias("low"))  # one row
+        own = own.join(F.broadcast(some), (F.col("ord") < len(set(terms))) | (F.col("low") == len(set(terms)))).drop("low")
+    return own

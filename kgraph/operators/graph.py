@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import content_tokens, contains_any, plain
+from ..functions.text import contains_any, content_tokens, plain
+from ..sources.shared import cut
 
 
 def last_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -81,16 +82,18 @@ def distances(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 20) -> list[tuple[str, str, str, bool]]:
+def shortest_path(edges: DataFrame, start: str, end: str, most: int | None = None) -> list[tuple[str, str, str, bool]]:
     """Steps (from, relation, to, forward) of a shortest path, the least predecessor first; [] for the
-    same node and where there is none. Levels are checkpointed, so the plan doesn't grow."""
+    same node and where there is none; with ``most``, of so many steps at most. Levels are checkpointed, so the
+    plan doesn't grow, and the search ends where a level reaches no new node."""
     spark = edges.sparkSession
     both = edges.select("source", "relation", "target", F.lit(True).alias("forward")).unionByName(edges.select(F.col("target").alias("source"), "relation", F.col("source").alias("target"), F.lit(False).alias("forward")))
     seen = spark.createDataFrame([(start,)], "id string")
     front, steps = seen, []
-    for _ in range(most if start != end else 0):
+    while start != end and (most is None or len(steps) < most):
         step = both.join(front, both.source == front.id, "left_semi").join(seen, both.target == seen.id, "left_anti")
-        step = step.groupBy(F.col("target").alias("id")).agg(F.min(F.struct("source", "relation", "forward")).alias("via")).checkpoint()
+        step = step.groupBy(F.col("target").alias("id")).agg(F.min(F.struct("source", "relation", "forward")).alias("via"))
+        step = cut(step)
         if step.isEmpty():
             return []
         steps.append(step)

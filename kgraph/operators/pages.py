@@ -11,7 +11,57 @@ from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import collapse
 
-SKIPPED = r"(?i)\.(pdf|jpg|jpeg|png|gif|svg|zip|rar|doc|docx|xls|xlsx|ppt|pptx|mp4|mp3)$"
+#: Extensions of files that are no pages; callers may pass others.
+SKIPPED = ["pdf", "jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "css", "js", "zip", "rar", "mp4", "mp3", "avi", "mov"]
+
+
+def skipped(url: Column, extensions: list[str] = SKIPPED) -> Column:
+    """Whether a URL's path ends in one of the extensions."""
+    return F.lower(F.regexp_extract(url, r"^([^?#]*)", 1)).rlike(rf"\.({'|'.join(extensions)})$")
+
+
+def in_scope(url: Column, hosts: list[str], prefix: str = "/") -> Column:
+    """Whether a URL is of one of the hosts, and its path below the prefix."""
+    host, path = F.lower(F.try_parse_url(url, F.lit("HOST"))), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    return F.coalesce(host.isin(hosts) & F.startswith(F.when(path == "", "/").otherwise(path), F.lit(prefix)), F.lit(False))
+
+
+def joined_url(base: Column, link: Column) -> Column:
+    """A link as seen from its page: whole URLs as they are, others by the page's scheme, host or folder, dot
+    segments resolved one level at a time from the left, those above the root dropped."""
+    scheme, host = F.regexp_extract(base, "^([a-zA-Z]+:)//", 1), F.regexp_extract(base, "^([a-zA-Z]+://[^/?#]*)", 1)
+    folder = F.regexp_extract(F.regexp_replace(base, "[?#].*$", ""), "^([a-zA-Z]+://[^/]*(?:/.*)?)/[^/]*$", 1)
+    folder = F.when(folder.rlike("^[a-zA-Z]+:/?$") | (folder == ""), host).otherwise(folder)
+    full = (
+        F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, link)).when(F.startswith(link, F.lit("/")), F.concat(host, link))
+        .when(F.startswith(link, F.lit("?")), F.concat(F.regexp_replace(base, "[?#].*$", ""), link)).when(F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link)).otherwise(F.concat(folder, F.lit("/"), link))
+    )
+    full = F.regexp_replace(full, r"(?<=/)(?:\./)+", "")
+    for _ in range(4):
+        full = F.regexp_replace(full, r"(?<=[^/:]/)(?!\.\./)[^/?#]+/\.\./", "")
+        full = F.regexp_replace(full, r"^([a-zA-Z]+://[^/?#]*/)(?:\.\./)+", "$1")
+    return full
+
+
+def has_content(blocks: DataFrame) -> DataFrame:
+    """page_id of pages with any heading, paragraph, list item or table."""
+    return blocks.where(F.col("kind").rlike("^(h[1-6]|p|li|table)$")).select("page_id").distinct()
+
+
+def rows_text(rows: Column) -> Column:
+    """A table of rows of cells: cells that aren't blank joined by bars, a line each."""
+    lines = F.transform(rows, lambda r: F.array_join(F.filter(r, lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""), " | "))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def records_text(records: Column) -> Column:
+    """A table of maps: key and value of each entry joined by bars, a line each."""
+    return F.array_join(F.transform(records, lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws(": ", e["key"], e["value"])), " | ")), "\n")
+
+
+def record_text(record: Column) -> Column:
+    """One map: a line an entry."""
+    return F.array_join(F.transform(F.map_entries(record), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n")
 
 
 def normal_url(url: Column) -> Column:
@@ -33,7 +83,7 @@ def without_noise(html: Column) -> Column:
 
 def links(pages: DataFrame) -> DataFrame:
     """page_id, link: each distinct href of a page that isn't a file to skip."""
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link")).select("page_id", F.trim("link").alias("link")).where((F.col("link") != "") & ~F.col("link").rlike(SKIPPED)).distinct()
+    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("link")).select("page_id", F.trim("link").alias("link")).where((F.col("link") != "") & ~skipped(F.col("link"))).distinct()
 
 
 def paragraphs(pages: DataFrame, least: int = 20) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import EXHAUSTIVE_PATTERN, EXHAUSTIVE_PHRASES, QUESTION_RULES
+from ..sources.shared import cut
 from ..functions.text import contains_any, content_tokens, cosine, first_rule, jaccard, plain, tokens
 
 
@@ -33,7 +34,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, max_queries: int = 1
     Queries are broadcast in blocks by a hash of the id, of about ``max_queries`` each, one block at a time."""
     blocks = -(-queries.count() // max_queries)
     if blocks > 1:
-        parts = [nearest_block(vectors, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i), k).checkpoint() for i in range(blocks)]
+        parts = [cut(nearest_block(vectors, queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i), k)) for i in range(blocks)]
         return reduce(DataFrame.unionByName, parts)
     return nearest_block(vectors, queries, k)
 
@@ -94,11 +95,13 @@ def near_duplicates(chunks: DataFrame, least: float) -> DataFrame:
     through their rarest tokens: a pair at t shares one of the first (1 - t) * n + 1 tokens in any fixed order."""
     sets = chunks.select("bucket", F.col("chunk_id").alias("id"), F.array_sort(tokens(plain(F.col("content")))).alias("t")).where(F.size("t") > 0)
     prefix = F.slice(F.transform(F.array_sort(F.transform("t", lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("x")))), lambda s: s["x"]), F.lit(1), (F.size("t") - F.ceil(least * F.size("t")) + 1).cast("int"))
-    keyed = sets.withColumn("k", F.explode(prefix))
+    # ids and sizes alone meet; token sets are fetched for the pairs that did
+    keyed = sets.select("bucket", "id", F.size("t").alias("n"), F.explode(prefix).alias("k"))
     p, q = keyed.alias("p"), keyed.alias("q")
-    pairs = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.k") == F.col("q.k")) & (F.col("p.id") < F.col("q.id")) & (F.least(F.size("p.t"), F.size("q.t")) >= least * F.greatest(F.size("p.t"), F.size("q.t"))))
-    pairs = pairs.select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), jaccard(F.col("p.t"), F.col("q.t")).alias("score")).where(F.col("score") >= least)
-    return pairs.select("a", "b", F.round("score", 6).alias("score")).distinct()
+    near = p.join(q, (F.col("p.bucket") == F.col("q.bucket")) & (F.col("p.k") == F.col("q.k")) & (F.col("p.id") < F.col("q.id")) & (F.least("p.n", "q.n") >= least * F.greatest("p.n", "q.n")))
+    near = near.select(F.col("p.id").alias("a"), F.col("q.id").alias("b")).distinct()
+    texts = near.join(sets.select(F.col("id").alias("a"), F.col("t").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("t").alias("y")), "b")
+    return texts.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= least).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def sources(chunks: DataFrame, k: int) -> DataFrame:
@@ -125,3 +128,110 @@ def answer(spark, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, questio
         return "There is not enough evidence to answer that."
     context = "\n".join([r["line"] for r in facts] + [r["content"] for r in texts])
     return generate(question, context) if generate else context
+
+
+def hits(text: Column, terms: list[str]) -> Column:
+    """How many of the terms a text contains."""
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(t)).cast("int") for t in terms], F.lit(0))
+
+
+def scope_of(question: Column, scopes: dict[str, list[str]], default: str) -> Column:
+    """The first scope one of whose terms the question contains."""
+    return first_rule(plain(question), [(k, v) for k, v in scopes.items() if k != default], default)
+
+
+def full_rerank(chunks: DataFrame, question: str, kind: str, entities: list[str], graph_names: list[str], profile: dict) -> DataFrame:
+    """Adds every part of relevance as a column, relevance and topic_match. ``chunks``: content, page_title,
+    section, source_url, score. ``profile`` has the caller's tables, all optional: intent, conflicts, headings
+    (words of titles and their bonus), places (words and location bonus), site, scopes and default_scope."""
+    content, head, section = plain(F.col("content")), plain(F.col("page_title")), plain(F.col("section"))
+    out = chunks.select("*", head.alias("_h"), section.alias("_s"), F.concat_ws(" ", content, head, section).alias("_t")).withColumn("own", tokens(F.col("_t")))
+    asked = F.array_distinct(content_tokens(F.lit(question)))
+    lit = lambda words: F.array(*map(F.lit, words)).cast("array<string>")
+    phrases = [plain(F.lit(e)) for e in entities]
+    entity = reduce(lambda a, b: a + b, [F.contains("_t", p).cast("int") for p in phrases], F.lit(0)) / max(1, len(phrases))
+    names = reduce(lambda a, b: a + b, [F.when(F.length(plain(F.lit(g))) >= 4, F.contains("_t", plain(F.lit(g))).cast("int")).otherwise(0) for g in graph_names], F.lit(0))
+    words, bonus = profile.get("headings", ([], 0.0))
+    titled = F.when(hits(F.col("_h"), words) + hits(F.col("_s"), words) > 0, bonus).otherwise(0.0)
+    scopes, default = profile.get("scopes", {}), profile.get("default_scope")
+    scope, wrong = F.lit(0.0), F.lit(0.0)
+    if scopes:
+        mine = next((k for k, terms in scopes.items() if k != default and any(t in question.lower() for t in terms)), default)
+        own = hits(F.col("_t"), scopes[mine])
+        scope = F.least(F.lit(0.42), 0.07 * own)
+        others = reduce(lambda a, b: a + b, [F.when(hits(F.col("_t"), scopes[k]) > 0, w).otherwise(0.0) for k, w in profile.get("penalties", {}).items() if k in scopes], F.lit(0.0))
+        wrong = F.when(own > 0, 0.0).otherwise(others if mine == default else F.lit(0.40))
+    place = F.least(F.lit(0.32), 0.055 * F.size(F.array_intersect(lit(profile.get("places", [])), "own")))
+    site = F.when(F.contains(F.lower(F.coalesce("source_url", F.lit(""))), F.lit(profile["site"])), 0.08).otherwise(0.0) if profile.get("site") else F.lit(0.0)
+    out = out.select(
+        "*", F.col("score").cast("double").alias("vector"), entity.alias("entity"), (F.size(F.array_intersect(asked, "own")) / F.greatest(F.size(asked), F.lit(1))).alias("keyword"),
+        F.least(F.lit(1.0), F.size(F.array_intersect(lit(profile.get("intent", [])), "own")) / 4.0).alias("intent"), titled.alias("titled"),
+        (site + F.when(F.col("_h") != "", 0.025).otherwise(0.0) + F.when(F.col("_s") != "", 0.025).otherwise(0.0)).alias("metadata"),
+        F.least(F.lit(0.12), 0.04 * names).alias("graph"), place.alias("place"), scope.alias("scope"), wrong.alias("wrong"),
+        F.least(F.lit(0.30), 0.055 * F.size(F.array_intersect(lit(profile.get("conflicts", [])), "own"))).alias("conflict"),
+    )
+    c = F.col
+    relevance = 0.38 * c("vector") + 0.12 * c("entity") + 0.10 * c("keyword") + 0.13 * c("intent") + c("titled") + c("metadata") + c("graph") + c("place") + c("scope") - c("conflict") - c("wrong")
+    return out.withColumn("relevance", F.round(relevance, 4)).withColumn("topic_match", F.least(F.lit(1.0), c("intent") + c("scope") + 0.7 * c("titled"))).drop("_h", "_s", "_t")
+
+
+def topical(scored: DataFrame, scoped: bool) -> DataFrame:
+    """Chunks on the topic asked for: with scopes those in scope and relevant, else those that match it, or
+    those that the vector alone makes certain."""
+    if scoped:
+        return scored.where((F.col("scope") > 0) & ((F.col("relevance") >= 0.32) | (F.col("vector") >= 0.72)))
+    return scored.where((F.col("topic_match") >= 0.12) | (F.col("vector") >= 0.82))
+
+
+def expanded_query(question: Column, kind: Column, hints: dict[str, str], seed: Column) -> Column:
+    """The question, the hint of its kind, and the first seed's name unless it is there or has 80 characters."""
+    hint = F.create_map(*[F.lit(x) for kv in hints.items() for x in kv])[kind]
+    text = F.concat_ws(" ", question, hint)
+    return F.when(F.contains(plain(text), plain(seed)) | (F.length(seed) >= 80) | seed.isNull(), text).otherwise(F.concat_ws(" ", text, seed))
+
+
+def analysed(questions: DataFrame, generic: list[str]) -> DataFrame:
+    """Adds kind, terms and exhaustive: what an analyser without a language model makes of a question."""
+    from .entities import fallback_terms
+
+    q = F.col("question")
+    return questions.select("*", classify(q).alias("kind"), fallback_terms(q, generic).alias("terms"), exhaustive(q).alias("exhaustive"))
+
+
+def hashed_vectors(texts: DataFrame, dims: int = 64) -> DataFrame:
+    """id, vector: unit vectors of signed token counts by hash, a stand-in for a language model's encoder."""
+    t = texts.select("id", F.explode(tokens(plain(F.col("content")))).alias("token")).select("id", F.xxhash64("token").alias("h"))
+    slots = t.groupBy("id", F.pmod("h", F.lit(dims)).cast("int").alias("slot")).agg(F.sum(F.when(F.shiftrightunsigned("h", 63) == 1, -1).otherwise(1)).alias("n"))
+    rows = slots.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
+    return rows.where("norm > 0").select("id", F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: (F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm")).cast("float")).alias("vector"))
+
+
+def vector_index(chunks: DataFrame, encode=None, dims: int = 64) -> DataFrame:
+    """chunk_id, vector and the chunk's other columns, of chunks whose content isn't blank. ``encode``: DataFrame
+    (id, content) to (id, vector); each distinct content is encoded once."""
+    rows = chunks.where(F.trim(F.coalesce("content", F.lit(""))) != "").withColumn("_k", F.xxhash64("content"))
+    distinct = rows.groupBy("_k").agg(F.first("content").alias("content")).select(F.col("_k").alias("id"), "content")
+    vectors = (encode or (lambda df: hashed_vectors(df, dims)))(distinct).select(F.col("id").alias("_k"), "vector")
+    return rows.join(vectors, "_k").drop("_k")
+
+
+def hybrid(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, query: str, priority: dict[str, int], k: int = 5, relations: int = 30) -> dict[str, DataFrame]:
+    """entities, relationships and chunks for a query: the graph's best names, their edges by priority, and lexical chunks."""
+    from .entities import search_max
+    from .graph import described
+
+    best = search_max(nodes, query).orderBy(F.desc("score"), "id").limit(k)
+    ids = best.select("id")
+    mine = edges.join(ids, edges.source == ids.id, "left_semi").unionByName(edges.join(ids, edges.target == ids.id, "left_semi")).distinct()
+    rank = F.coalesce(F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])[F.col("relation")], F.lit(0)) if priority else F.lit(0)
+    facts = described(mine, nodes).withColumn("priority", rank).orderBy(F.desc("priority"), "source", "relation", "target").limit(relations)
+    return {"entities": best, "relationships": facts, "chunks": lexical(chunks, query, k)}
+
+
+def rag_edges(nodes: DataFrame, edges: DataFrame, query: str, k: int = 5, hops: int = 1) -> DataFrame:
+    """Edges within ``hops`` of the best names by word overlap, each once, with names."""
+    from .entities import search_overlap
+    from .graph import described, expand
+
+    best = search_overlap(nodes, query).orderBy(F.desc("score"), "id").limit(k)
+    return described(expand(edges, best.select("id"), hops), nodes)

@@ -283,9 +283,13 @@ def domain_range_violations(spark, d):
     return G.violations(G.described(edges(spark, d), nodes(spark, d)), rules).select("source", "relation", "target")
 
 
-@query("SELECT doc_id, array_to_string(list_filter(" + _list(lexicon.SUSPECT_ROLE_WORDS) + ", lambda w: contains(lower(text), w)), ',') AS words FROM documents WHERE " + _any("lower(text)", lexicon.SUSPECT_ROLE_WORDS))
+_ROLE = "lower(CASE doc_id % 5 WHEN 0 THEN 'Annual Workshop ' WHEN 1 THEN 'Sports Day and Meet ' ELSE '' END || text)"
+
+
+@query("SELECT doc_id, array_to_string(list_filter(" + _list(lexicon.SUSPECT_ROLE_WORDS) + f", lambda w: contains({_ROLE}, w)), ',') AS words FROM documents WHERE " + _any(_ROLE, lexicon.SUSPECT_ROLE_WORDS))
 def keyword_suspects(spark, d):
-    low, words = F.lower("text"), F.array(*map(F.lit, lexicon.SUSPECT_ROLE_WORDS))
+    k, words = F.col("doc_id") % 5, F.array(*map(F.lit, lexicon.SUSPECT_ROLE_WORDS))
+    low = F.lower(F.concat(F.when(k == 0, "Annual Workshop ").when(k == 1, "Sports Day and Meet ").otherwise(""), "text"))
     return read(spark, d, "documents").where(contains_any(low, lexicon.SUSPECT_ROLE_WORDS)).select("doc_id", F.array_join(F.filter(words, lambda w: F.contains(low, w)), ",").alias("words"))
 
 
@@ -309,11 +313,11 @@ def lexical_chunks(spark, d):
     return R.lexical(_chunks(spark, d), "Released the License", 5).select("chunk_id", F.col("score").cast("long").alias("score"))
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(embedding, query), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM embeddings, q)
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding AS query FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(embedding, query), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)), 6) AS score FROM embeddings, q)
  SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 10""")
 def vector_topk(spark, d):
     v = read(spark, d, "embeddings")
-    return R.nearest(v, v.where("vec_id < 20"), 10)
+    return R.nearest(v, v.where("vec_id % 20 = 0"), 10)
 
 
 def _scored(spark, d):
@@ -338,19 +342,26 @@ def rerank_select(spark, d):
     return R.select_chunks(scored, "question", 5, 2)
 
 
-@query(f"""WITH s AS (SELECT item_id % 4 AS bucket, item_id AS id, {_tokens(_plain('text'))} AS t FROM benchmark) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))), 6)::DOUBLE AS score
- FROM s a JOIN s b ON a.bucket = b.bucket AND a.id < b.id WHERE len(list_intersect(a.t, b.t)) / len(list_distinct(list_concat(a.t, b.t))) >= 0.3""")
+@query(f"""WITH s AS (SELECT doc_id AS id, {_tokens(_plain('text'))} AS t FROM documents), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.t, b.t)) AS shared, len(a.t) AS n, len(b.t) AS m
+ FROM s a JOIN s b ON a.id < b.id AND len(a.t) > 0 AND len(b.t) > 0 AND least(len(a.t), len(b.t)) >= 0.8 * greatest(len(a.t), len(b.t))) SELECT a, b, round(shared / (n + m - shared), 6)::DOUBLE AS score FROM p WHERE shared / (n + m - shared) >= 0.8""")
 def jaccard_near_dups(spark, d):
-    c = read(spark, d, "benchmark").select((F.col("item_id") % 4).alias("bucket"), F.col("item_id").alias("chunk_id"), F.col("text").alias("content"))
-    return R.near_duplicates(c, 0.3)
+    return R.near_duplicates(_chunks(spark, d).withColumn("bucket", F.lit(0)), 0.8)
+
+
+_ASKED = "CASE conv_id % 4 WHEN 0 THEN 'Where is ' WHEN 1 THEN 'What are the fees for ' WHEN 2 THEN 'Compare ' ELSE '' END || text"
 
 
-_CLASS = "CASE " + " ".join(f"WHEN {_any('lower(text)', needles)} THEN '{name}'" for name, needles in lexicon.QUESTION_RULES) + " ELSE 'general_information' END"
+def _asked():
+    k = F.col("conv_id") % 4
+    return F.concat(F.when(k == 0, "Where is ").when(k == 1, "What are the fees for ").when(k == 2, "Compare ").otherwise(""), "text")
+
+
+_CLASS = "CASE " + " ".join(f"WHEN {_any(f'lower({_ASKED})', needles)} THEN '{name}'" for name, needles in lexicon.QUESTION_RULES) + " ELSE 'general_information' END"
 
 
 @query(f"SELECT {_CLASS} AS kind, count(*) AS n FROM conversations WHERE role = 'user' GROUP BY kind")
 def classify_questions(spark, d):
-    return read(spark, d, "conversations").where("role = 'user'").groupBy(R.classify(F.col("text")).alias("kind")).agg(F.count("*").alias("n"))
+    return read(spark, d, "conversations").where("role = 'user'").groupBy(R.classify(_asked()).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query("SELECT conv_id, turn FROM (SELECT conv_id, turn, lower(trim(CASE WHEN conv_id % 5 = 0 THEN 'What labs are there for ' || text WHEN conv_id % 5 = 1 THEN 'List all ' || text ELSE text END)) AS q FROM conversations) WHERE " + _any("q", lexicon.EXHAUSTIVE_PHRASES) + f" OR regexp_matches(q, '{lexicon.EXHAUSTIVE_PATTERN}')")
@@ -375,7 +386,7 @@ def page_titles(spark, d):
     return read(spark, d, "pages").select("page_id", P.title(F.col("html")).alias("title"))
 
 
-@query("SELECT DISTINCT page_id, link FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS link FROM pages) WHERE link <> '' AND NOT regexp_matches(link, '(?i)\\.(pdf|jpg|jpeg|png|gif|svg|zip|rar|doc|docx|xls|xlsx|ppt|pptx|mp4|mp3)$')")
+@query("SELECT DISTINCT page_id, link FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1))) AS link FROM pages) WHERE link <> '' AND NOT regexp_matches(lower(regexp_extract(link, '^([^?#]*)', 1)), '\\.(pdf|jpg|jpeg|png|gif|webp|svg|ico|css|js|zip|rar|mp4|mp3|avi|mov)$')")
 def page_links(spark, d):
     return P.links(read(spark, d, "pages"))
 
@@ -456,3 +467,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
+
+
+from . import resolution  # noqa: E402, F401  registers its queries here
