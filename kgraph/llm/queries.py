@@ -15,6 +15,7 @@ from .line_dedup import dedup_lines
 from .media import text_media
 from .packing import best_fit_packing
 from .quality import quality_scores
+from .simhash_dedup import simhash_components
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_files import tokens_round_trip
@@ -68,8 +69,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), k=4, radius=4)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_substring_dedup, op2_quality_classifier, op3_line_dedup, op4_license_scan, op5_best_fit_packing, op6_suffix_array_dedup, op7_token_files, op8_decontamination, op9_media_columns, op10_jaccard_join)
+    every = (op1_substring_dedup, op2_quality_classifier, op3_line_dedup, op4_license_scan, op5_best_fit_packing, op6_suffix_array_dedup, op7_token_files, op8_decontamination, op9_media_columns, op10_jaccard_join, op13_simhash_dedup)
     return {f.__name__: f for f in every}
 
 
