@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, partitions, stored
+from .common import cut, documents, partitions, stored
 from .components import components, joined_by
 from .kernels import LOWER, joined, lean, slabs, word_bounds
 
@@ -35,6 +35,8 @@ RADIUS = 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Classes of one variant that are compared in one tile's side, rows of a part, and shingles counted at once.
 BLOCK, PART, VOTES = 2048, 400_000, 1 << 16
+#: Large variants that are broadcast; more are joined by a shuffle.
+FEW = 10_000
 
 
 def spaced(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -123,12 +125,17 @@ def links(classes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataF
     """(a, b): links of classes(node, fp) that connect all whose fingerprints differ in at most ``radius`` bits."""
     spark = classes.sparkSession
     keys = classes.select("node", "fp", F.explode(variants(F.col("fp"))).alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = keys.join(sizes, "key").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    # a row of a large variant goes to each tile that its block has a part in
-    tile = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
-    dealt = met.select("key", "node", "fp", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_distinct(tile))).alias("tile"))
+    large = cut(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block))
+    n_large = large.count()
+    dealt = keys.withColumn("tile", F.lit(0))
+    if n_large:
+        some = F.broadcast(large) if n_large <= FEW else large
+        blocks = F.ceil(F.col("n") / block).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        # a row of a large variant goes to each tile that its block has a part in
+        tiles = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.least(o, own) * blocks + F.greatest(o, own))
+        split = keys.join(some, "key").select("node", "fp", "key", F.explode(tiles).alias("tile"))
+        dealt = dealt.join(some, "key", "left_anti").unionByName(split)
     parts = max(partitions(spark), 64 * classes.count() // PART)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "tile"), F.lit(parts)).cast("int"))
 
