@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import collocations as phrases
+from .collocations import collocations
 from .common import table
 from .decontaminate import decontaminate
 from .jaccard_join import jaccard_components
@@ -69,14 +71,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
+
+
 def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), k=4, radius=4)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_substring_dedup, op2_quality_classifier, op3_line_dedup, op4_license_scan, op5_best_fit_packing, op6_suffix_array_dedup, op7_token_files, op8_decontamination, op9_media_columns, op10_jaccard_join, op13_simhash_dedup)
+    every = (op1_substring_dedup, op2_quality_classifier, op3_line_dedup, op4_license_scan, op5_best_fit_packing, op6_suffix_array_dedup, op7_token_files, op8_decontamination, op9_media_columns, op10_jaccard_join, op12_phrase_collocations, op13_simhash_dedup)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_phrase_collocations": phrases.SQL}
