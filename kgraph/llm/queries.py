@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations as phrases
+from .collocations import SQL as PHRASES_SQL
 from .collocations import collocations
 from .common import table
 from .decontaminate import decontaminate
@@ -21,6 +21,8 @@ from .simhash_dedup import simhash_components
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .token_files import tokens_round_trip
+from .turns import SQL as TURNS_SQL
+from .turns import reassembled, replayed
 
 
 def vocabulary(name: str) -> str:
@@ -71,6 +73,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op11_conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = reassembled(replayed(table(spark, sf_dir, "conversations"), batches=12), batches=12, idle=3)
+    said = F.when(F.col("event") == "close", F.array_join(F.col("unreleased").cast("array<string>"), ",")).otherwise(F.col("payload"))
+    return events.select("event", F.sha2(said.cast("binary"), 256).alias("sha256"), "conv_id", "turn", "batch", "n_missing", "n_breaks")
+
+
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"), least=30, top=2000)
 
@@ -80,9 +88,9 @@ def op13_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_substring_dedup, op2_quality_classifier, op3_line_dedup, op4_license_scan, op5_best_fit_packing, op6_suffix_array_dedup, op7_token_files, op8_decontamination, op9_media_columns, op10_jaccard_join, op12_phrase_collocations, op13_simhash_dedup)
+    every = (op1_substring_dedup, op2_quality_classifier, op3_line_dedup, op4_license_scan, op5_best_fit_packing, op6_suffix_array_dedup, op7_token_files, op8_decontamination, op9_media_columns, op10_jaccard_join, op11_conversation_turns, op12_phrase_collocations, op13_simhash_dedup)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_phrase_collocations": phrases.SQL}
+    return {"op11_conversation_turns": TURNS_SQL, "op12_phrase_collocations": PHRASES_SQL}
