@@ -29,6 +29,8 @@ from .kernels import LOWER, lean, slabs, word_bounds
 
 #: Bytes of text in a shard.
 SHARD = 8 << 20
+#: Frequent phrases of a level that are broadcast (some 50 bytes each); more of them are joined by a shuffle.
+FEW = 1_000_000
 #: Words of the longest phrases.
 LONGEST = 4
 BREAK = np.zeros(256, bool)
@@ -140,7 +142,8 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataF
         frequent = stored(frequent.withColumn("id", F.monotonically_increasing_id()), f"frequent-{words}")
         found.append(frequent)
         if words < LONGEST:
-            known = each.join(frequent.select(*key, "id"), key).select(F.col("shard").alias("of"), "idx", "id")
+            named = frequent.select(*key, "id")
+            known = each.join(F.broadcast(named) if frequent.count() <= FEW else named, key).select(F.col("shard").alias("of"), "idx", "id")
             lists = stored(extended(lists, known, words + 1 == LONGEST), f"lists-{words + 1}")
     return n, found
 
