@@ -3,8 +3,8 @@
 1. Each task cuts its documents into shards of some MB and makes an inverted list for each distinct
    (lang, word) of a shard: its sorted positions. Words in a row within a piece have positions in a row;
    between pieces and documents a position is left out. The documents are not shuffled.
-2. A level's lists tell the lengths, summed over shards by Spark; phrases of ``least`` occurrences at
-   least get a global id, exactly, without hashes. Shards learn the ids of those of their own phrases.
+2. A level's lists tell their names and lengths to buckets, in packed rows; a bucket sums them over all shards by
+   the names themselves and gives those of ``least`` occurrences at least a global id. Shards learn the ids of their own.
 3. In a shard the positions of frequent phrases of m words are merged with those of the frequent phrases
    that begin one word later, which end in the adjacent word: each meeting is an occurrence of a phrase of
    m + 1 words, named by the pair of ids. A phrase that is frequent has frequent parts, so none is missed,
@@ -20,28 +20,39 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
-from .kernels import LOWER, lean, slabs, word_bounds
+from .common import partitions, size_of, stored
+from .kernels import LOWER, lean, mix, slabs, word_bounds, word_hashes
 
 #: Bytes of text in a shard.
 SHARD = 8 << 20
-#: Frequent phrases of a level that are broadcast (some 50 bytes each); more of them are joined by a shuffle.
-FEW = 1_000_000
+#: Bytes of input whose names a bucket sums up.
+BUCKET = 64 << 20
 #: Words of the longest phrases.
 LONGEST = 4
 BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
-LISTS = [("shard", pa.int64()), ("idx", pa.int32()), ("n", pa.int64()), ("sizes", pa.binary()), ("positions", pa.binary())]
-WORDS = pa.schema([*LISTS, ("lang", pa.string()), ("word", pa.string())])
-WORDS_DDL = "shard long, idx int, n long, sizes binary, positions binary, lang string, word string"
-PAIRS = pa.schema([*LISTS, ("a", pa.int64()), ("b", pa.int64())])
-PAIRS_DDL = "shard long, idx int, n long, sizes binary, positions binary, a long, b long"
+SHARDS = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary()), ("sizes", pa.binary()), ("positions", pa.binary())])
+SHARDS_DDL = "shard long, bucket int, packed binary, sizes binary, positions binary"
+FOUND = pa.schema([("shard", pa.int64()), ("idx", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("f", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+FOUND_DDL = "shard long, idx binary, ids binary, id long, f long, lang string, word string, a long, b long, n long"
+
+
+def packed(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
 
 
 def inverted(names: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,17 +61,21 @@ def inverted(names: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.n
     return distinct, sizes, positions[np.argsort(which, kind="stable")]
 
 
-def listed(schema: pa.Schema, shard: int, sizes: np.ndarray, lists: np.ndarray | None, keys: list[pa.Array]) -> pa.Table:
-    """A row for each phrase, and one that holds the lists, if they are still needed."""
-    n = len(sizes)
-    rows = pa.Table.from_arrays([pa.array(np.full(n, shard, np.int64)), pa.array(np.arange(n, dtype=np.int32)), pa.array(sizes.astype(np.int64)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *keys], schema=schema)
-    if lists is None:
-        return rows
-    whole = pa.Table.from_pylist([{"shard": shard, "sizes": sizes.astype(np.uint32).tobytes(), "positions": lists.astype(np.uint32).tobytes()}], schema=schema)
-    return pa.concat_tables([rows, whole])
+def listed(shard: int, keys: dict[str, pa.Array], hashes: np.ndarray, sizes: np.ndarray, lists: np.ndarray | None, buckets: int) -> pa.Table:
+    """A packed row for each bucket: names and lengths of the lists that it sums up, and their place in the shard;
+    and a row that holds the lists, if they are still needed."""
+    bucket = (hashes % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    rows = pa.table({**keys, "n": pa.array(sizes.astype(np.int64)), "idx": pa.array(np.arange(len(sizes), dtype=np.int32))}).take(pa.array(order))
+    bucket = bucket[order]
+    cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)].tolist() if len(bucket) else [0]
+    out = [{"shard": shard, "bucket": int(bucket[x]), "packed": packed(rows.slice(x, y - x))} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    if lists is not None:
+        out.append({"shard": shard, "sizes": sizes.astype(np.uint32).tobytes(), "positions": lists.astype(np.uint32).tobytes()})
+    return pa.Table.from_pylist(out, schema=SHARDS)
 
 
-def words_of(shard: int, langs: pa.Array, data: np.ndarray, bounds: np.ndarray) -> pa.Table:
+def words_of(shard: int, langs: pa.Array, data: np.ndarray, bounds: np.ndarray, buckets: int) -> pa.Table:
     """The word lists of a shard."""
     data = LOWER[data]
     starts, ends, first = word_bounds(data, bounds, GAP)
@@ -74,11 +89,21 @@ def words_of(shard: int, langs: pa.Array, data: np.ndarray, bounds: np.ndarray)
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[~GAP[data]].tobytes())]).dictionary_encode()
     kinds = max(1, len(lang.dictionary))
     distinct, sizes, lists = inverted(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * kinds + code, positions)
-    keys = [lang.dictionary.take(pa.array(distinct % kinds)).cast(pa.string()), words.dictionary.take(pa.array(distinct // kinds)).cast(pa.binary()).cast(pa.string())]
-    return listed(WORDS, shard, sizes, lists, keys)
+    names, spelt = lang.dictionary.take(pa.array(distinct % kinds)).cast(pa.large_binary()), words.dictionary.take(pa.array(distinct // kinds))
+    size = pc.cast(pc.cast(pc.binary_length(names), pa.string()), pa.large_binary())
+    # the lang's length tells where the word begins
+    key = pc.binary_join_element_wise(size, pc.binary_join_element_wise(names, spelt, pa.scalar(b"", pa.large_binary())), pa.scalar(b":", pa.large_binary()))
+    return listed(shard, {"key": key}, hashes_of(key), sizes, lists, buckets)
 
 
-def word_lists(docs: DataFrame) -> DataFrame:
+def hashes_of(keys: pa.Array) -> np.ndarray:
+    _, offsets, data = keys.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[keys.offset : keys.offset + len(keys) + 1]
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if len(keys) else np.zeros(0, np.uint8)
+    return word_hashes(raw, bounds[:-1] - bounds[0], bounds[1:] - bounds[0])
+
+
+def word_lists(docs: DataFrame, buckets: int) -> DataFrame:
     """The word lists of all shards."""
 
     def each(batches):
@@ -90,7 +115,7 @@ def word_lists(docs: DataFrame) -> DataFrame:
             langs = rows.column("lang").combine_chunks()
             langs = langs.chunk(0) if isinstance(langs, pa.ChunkedArray) else langs
             for s in slabs(np.arange(rows.num_rows), rows.column("text"), SHARD):
-                yield from words_of(own + number, langs.slice(s.first, len(s.ids)), s.data, s.bounds).to_batches(1 << 16)
+                yield from words_of(own + number, langs.slice(s.first, len(s.ids)), s.data, s.bounds, buckets).to_batches()
                 number += 1
             held.clear()
 
@@ -101,19 +126,72 @@ def word_lists(docs: DataFrame) -> DataFrame:
         if held:
             yield from shards()
 
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(lean(each), WORDS_DDL)
-
-
-def extended(lists: DataFrame, known: DataFrame, last: bool) -> DataFrame:
-    """The lists of phrases one word longer. ``known``: of (a shard), idx, id of the phrases that are frequent."""
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(lean(each), SHARDS_DDL)
+
+
+def summed(shards: DataFrame, buckets: int, least: int) -> DataFrame:
+    """What a level's lists come to. A bucket sums the lengths of the lists of its names and gives each name of ``least``
+    at least an id of its own (id, f, and lang and word, or a and b); each shard hears, in one packed row a bucket,
+    the ids of those it has (shard, idx, ids). Of words also their number in each lang (lang, n)."""
+
+    def settle(rows: pa.Table) -> pa.Table:
+        tables = [unpacked(x) for x in rows.column("packed").to_pylist()]
+        shard = np.repeat(rows.column("shard").to_numpy(), [t.num_rows for t in tables])
+        every = pa.concat_tables(tables)
+        n, idx = every.column("n").to_numpy(), every.column("idx").to_numpy()
+        if "key" in every.column_names:
+            key = every.column("key").combine_chunks()
+            key = (key.chunk(0) if isinstance(key, pa.ChunkedArray) else key).dictionary_encode()
+            which = key.indices.to_numpy(zero_copy_only=False)
+            total = np.zeros(len(key.dictionary), np.int64)
+        else:
+            a, b = every.column("a").to_numpy(), every.column("b").to_numpy()
+            order = np.lexsort((b, a))
+            new = np.r_[True, (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)]
+            which = np.empty(len(a), np.int64)
+            which[order] = np.cumsum(new) - 1
+            total = np.zeros(int(new.sum()), np.int64)
+        np.add.at(total, which, n)
+        often = np.flatnonzero(total >= least)
+        ids = np.full(len(total), -1, np.int64)
+        ids[often] = rows.column("bucket")[0].as_py() + buckets * np.arange(len(often))
+        out = {"id": pa.array(ids[often]), "f": pa.array(total[often])}
+        if "key" in every.column_names:
+            lang, word = [], []
+            for k in key.dictionary.to_pylist():
+                size, _, rest = k.partition(b":")
+                lang.append(rest[: int(size)].decode())
+                word.append(rest[int(size) :])
+            out |= {"lang": pa.array([lang[i] for i in often]), "word": pa.array([word[i].decode() for i in often])}
+            words: dict[str, int] = {}
+            for x, t in zip(lang, total.tolist(), strict=True):
+                words[x] = words.get(x, 0) + t
+            counts = pa.table({"lang": pa.array(list(words), pa.string()), "n": pa.array(list(words.values()), pa.int64())})
+        else:
+            first = order[new]
+            out |= {"a": pa.array(a[first][often]), "b": pa.array(b[first][often])}
+            counts = None
+        own = np.flatnonzero(ids[which] >= 0)
+        own = own[np.argsort(shard[own], kind="stable")]
+        cuts = np.r_[0, np.flatnonzero(np.diff(shard[own])) + 1, len(own)].tolist() if len(own) else [0]
+        told = [{"shard": int(shard[own[x]]), "idx": idx[own[x:y]].tobytes(), "ids": ids[which[own[x:y]]].tobytes()} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        parts = [pa.Table.from_pylist(told, schema=FOUND), pa.table(out), *([counts] if counts is not None else [])]
+        return pa.concat_tables([pa.Table.from_arrays([p.column(f.name).cast(f.type) if f.name in p.column_names else pa.nulls(p.num_rows, f.type) for f in FOUND], schema=FOUND) for p in parts])
+
+    return shards.where("bucket IS NOT NULL").select("bucket", "shard", "packed").groupBy("bucket").applyInArrow(lean(settle), FOUND_DDL)
+
+
+def extended(shards: DataFrame, found: DataFrame, last: bool, buckets: int) -> DataFrame:
+    """The lists of phrases one word longer, of those that are frequent."""
 
     def merge(mine: pa.Table, answers: pa.Table) -> pa.Table:
         if not mine.num_rows or not answers.num_rows:
-            return PAIRS.empty_table()
+            return SHARDS.empty_table()
         row = mine.to_pylist()[0]
         sizes = np.frombuffer(row["sizes"], np.uint32)
         ids = np.full(len(sizes), -1, np.int64)
-        ids[answers.column("idx").to_numpy()] = answers.column("id").to_numpy()
+        for idx, own in zip(answers.column("idx").to_pylist(), answers.column("ids").to_pylist(), strict=True):
+            ids[np.frombuffer(idx, np.int32)] = np.frombuffer(own, np.int64)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         positions = np.frombuffer(row["positions"], np.uint32).astype(np.int64)
         keep = ids[owner] >= 0
@@ -122,30 +200,28 @@ def extended(lists: DataFrame, known: DataFrame, last: bool) -> DataFrame:
         owner, positions = owner[order], positions[order]
         at = np.flatnonzero(np.diff(positions) == 1)
         distinct, n, longer = inverted(owner[at] * len(sizes) + owner[at + 1], positions[at])
-        return listed(PAIRS, row["shard"], n, None if last else longer, [pa.array(ids[distinct // len(sizes)]), pa.array(ids[distinct % len(sizes)])])
+        a, b = ids[distinct // len(sizes)], ids[distinct % len(sizes)]
+        hashes = mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
+        return listed(row["shard"], {"a": pa.array(a), "b": pa.array(b)}, hashes, n, None if last else longer, buckets)
 
-    whole = lists.where("positions IS NOT NULL").select("shard", "sizes", "positions")
-    return whole.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(lean(merge), PAIRS_DDL)
+    whole = shards.where("positions IS NOT NULL").select("shard", "sizes", "positions")
+    known = found.where("shard IS NOT NULL").select(F.col("shard").alias("of"), "idx", "ids")
+    return whole.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(lean(merge), SHARDS_DDL)
 
 
 def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """Words of each lang (lang, n), and for 1 to LONGEST words the phrases that occur ``least`` times: words as
     (id, lang, word, f), longer ones as (id, a, b, f), a and b the phrases without the last and the first word."""
-    lists, found, n = stored(word_lists(docs), "words"), [], None
+    buckets = max(partitions(docs.sparkSession), size_of(docs) // BUCKET)
+    shards, every, n = stored(word_lists(docs, buckets), "words"), [], None
     for words in range(1, LONGEST + 1):
-        key = ["lang", "word"] if words == 1 else ["a", "b"]
-        each = lists.where("idx IS NOT NULL").select("shard", "idx", "n", *key)
+        found = stored(summed(shards, buckets, least), f"frequent-{words}")
         if words == 1:
-            n = each.groupBy("lang").agg(F.sum("n").alias("n"))
-        frequent = each.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-        # the ids hold once they are written
-        frequent = stored(frequent.withColumn("id", F.monotonically_increasing_id()), f"frequent-{words}")
-        found.append(frequent)
+            n = found.where("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
+        every.append(found.where("id IS NOT NULL").select("id", "f", *(("lang", "word") if words == 1 else ("a", "b"))))
         if words < LONGEST:
-            named = frequent.select(*key, "id")
-            known = each.join(F.broadcast(named) if frequent.count() <= FEW else named, key).select(F.col("shard").alias("of"), "idx", "id")
-            lists = stored(extended(lists, known, words + 1 == LONGEST), f"lists-{words + 1}")
-    return n, found
+            shards = stored(extended(shards, found, words + 1 == LONGEST, buckets), f"lists-{words + 1}")
+    return n, every
 
 
 def score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
