@@ -13,10 +13,13 @@ about give list all any there their it its this that these those can
 could would should please are available
 """.split()
 
+#: White space, as a class of Java's patterns, whose own is ASCII alone.
+SPACES = r"\s\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
 
 def collapse(c: Column) -> Column:
-    """White space runs to one space, none at the ends."""
-    return F.trim(F.regexp_replace(c, r"[ \t\n\r\f\x0B]+", " "))
+    """White space runs to one space, none at the ends; no-break and other spaces of Unicode are white space."""
+    return F.trim(F.regexp_replace(c, rf"[{SPACES}]+", " "))
 
 
 def casefold(c: Column) -> Column:

@@ -1,6 +1,7 @@
 """Graph operators: upserts, traversal, paths, scoring and audits over nodes(id, name, type) and edges(source, relation, target).
 
-Node tables may be as large as edge tables, so nothing is broadcast by hand; adaptive execution may.
+Node tables may be as large as edge tables, so nothing is broadcast by hand but frontiers of a checked size.
+Traversals take edges as a DataFrame or as an ``Adjacency``, whose layout spares them the shuffle of all edges.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_any, content_tokens, plain
+from ..sources.adjacency import Adjacency, Front, adjacency
 from ..sources.shared import cut
 
 
@@ -37,64 +39,84 @@ def described(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(a, "source").join(b, "target")
 
 
-def neighbours(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
+def named(ids: DataFrame, nodes: DataFrame, column: str = "id") -> DataFrame:
+    """Rows with name and type of the node in ``column``; those without a node drop out."""
+    return ids.join(nodes.select(F.col("id").alias(column), "name", "type"), column)
+
+
+def neighbours(edges: DataFrame | Adjacency, nodes: DataFrame, seeds: DataFrame) -> DataFrame:
     """seed, direction, relation, id, name, type of all nodes one edge away."""
-    s = seeds.select(F.col("id").alias("seed"))
-    out = edges.join(s, edges.source == s.seed).select("seed", F.lit("out").alias("direction"), "relation", F.col("target").alias("id"))
-    into = edges.join(s, edges.target == s.seed).select("seed", F.lit("in").alias("direction"), "relation", F.col("source").alias("id"))
-    return out.unionByName(into).join(nodes, "id").select("seed", "direction", "relation", "id", "name", "type")
+    edges, front = adjacency(edges), Front(seeds)
+    out = edges.leaving(front).select(F.col("source").alias("seed"), F.lit("out").alias("direction"), "relation", F.col("target").alias("id"))
+    into = edges.entering(front).select(F.col("target").alias("seed"), F.lit("in").alias("direction"), "relation", F.col("source").alias("id"))
+    return named(out.unionByName(into), nodes).select("seed", "direction", "relation", "id", "name", "type")
+
+
+def fetched(edges: DataFrame | Adjacency, nodes: DataFrame, seeds: DataFrame, relations: list[str] | None = None, direction: str = "both", limit: int | None = None) -> DataFrame:
+    """Described edges at the seeds, of the relations given, the first ``limit`` by source, relation and target."""
+    edges, front = adjacency(edges), Front(seeds)
+    if relations:
+        edges = edges.where(F.col("relation").isin(relations))
+    found = edges.touching(front) if direction == "both" else edges.leaving(front) if direction == "out" else edges.entering(front)
+    rows = described(found, nodes)
+    return rows.orderBy("source", "relation", "target").limit(limit) if limit else rows
 
 
-def expand(edges: DataFrame, seeds: DataFrame, hops: int, direction: str = "both", relations: list[str] | None = None) -> DataFrame:
+def expand(edges: DataFrame | Adjacency, seeds: DataFrame, hops: int, direction: str = "both", relations: list[str] | None = None) -> DataFrame:
     """source, relation, target, hop: each edge at the first hop that meets it. The first hop follows
-    ``direction``; later ones leave nodes only. Self-loops are left out."""
-    edges = edges.where("source <> target")
+    ``direction``; later ones leave nodes only. Self-loops are left out. An edge met again leaves a node that an
+    earlier hop has left, and so is not met again; but one that entered a seed may leave the node it came from."""
+    edges = adjacency(edges).where("source <> target")
     if relations:
         edges = edges.where(F.col("relation").isin(relations))
-    front = seen = seeds.select("id").distinct()
-    found = None
+    front = Front(seeds)
+    seen, found, met = front.ids, None, None
     for hop in range(1, hops + 1):
-        step = edges.join(front, F.col("source") == F.col("id"), "left_semi")
-        if hop == 1 and direction in ("in", "both"):
-            into = edges.join(front, F.col("target") == F.col("id"), "left_semi")
-            step = into if direction == "in" else step.unionByName(into)
-        step = step.dropDuplicates(["source", "relation", "target"])
-        if found is not None:
-            step = step.join(found, ["source", "relation", "target"], "left_anti")
-        step = step.withColumn("hop", F.lit(hop))
+        if hop == 1:
+            step = edges.touching(front) if direction == "both" else edges.entering(front) if direction == "in" else edges.leaving(front)
+        else:
+            step = edges.leaving(front)
+            if hop == 2 and direction != "out":  # those that entered a seed in the first hop
+                step = seeds_left.without(step, "target")
+        step = step.dropDuplicates(["source", "relation", "target"]).withColumn("hop", F.lit(hop))
+        step = cut(step) if hops > 1 else step
         found = step if found is None else found.unionByName(step)
         if hop < hops:
+            seeds_left = front if hop == 1 else None
             ends = step.select(F.col("source").alias("id")).unionByName(step.select(F.col("target").alias("id"))).distinct()
-            front = ends.join(seen, "id", "left_anti")
-            seen = seen.unionByName(front)
+            front = Front(ends.join(seen, "id", "left_anti"))
+            seen = seen.unionByName(front.ids)
     return found
 
 
-def distances(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
+def distances(edges: DataFrame | Adjacency, start: DataFrame, hops: int) -> DataFrame:
     """id, hops: the least number of edges, whatever their direction, from the start nodes, to ``hops``."""
-    both = edges.select("source", "target").unionByName(edges.select(F.col("target").alias("source"), F.col("source").alias("target"))).distinct()
-    seen = start.select("id", F.lit(0).alias("hops"))
-    front = seen
+    edges, front = adjacency(edges), Front(start)
+    seen = front.ids.withColumn("hops", F.lit(0))
     for h in range(1, hops + 1):
-        step = both.join(front.select(F.col("id").alias("source")), "source", "left_semi").select(F.col("target").alias("id")).distinct()
-        front = step.join(seen, "id", "left_anti").withColumn("hops", F.lit(h))
-        seen = seen.unionByName(front)
+        step = edges.leaving(front).select(F.col("target").alias("id")).unionByName(edges.entering(front).select(F.col("source").alias("id"))).distinct()
+        front = Front(step.join(seen, "id", "left_anti"))
+        if not front.n:
+            break
+        seen = seen.unionByName(front.ids.withColumn("hops", F.lit(h)))
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int | None = None) -> list[tuple[str, str, str, bool]]:
+def shortest_path(edges: DataFrame | Adjacency, start: str, end: str, most: int | None = None) -> list[tuple[str, str, str, bool]]:
     """Steps (from, relation, to, forward) of a shortest path, the least predecessor first; [] for the
     same node and where there is none; with ``most``, of so many steps at most. Levels are checkpointed, so the
     plan doesn't grow, and the search ends where a level reaches no new node."""
-    spark = edges.sparkSession
-    both = edges.select("source", "relation", "target", F.lit(True).alias("forward")).unionByName(edges.select(F.col("target").alias("source"), "relation", F.col("source").alias("target"), F.lit(False).alias("forward")))
-    seen = spark.createDataFrame([(start,)], "id string")
-    front, steps = seen, []
+    edges = adjacency(edges)
+    spark = edges.by_source.sparkSession
+    front = Front(spark.createDataFrame([(start,)], "id string"))
+    seen, steps = front.ids, []
     while start != end and (most is None or len(steps) < most):
-        step = both.join(front, both.source == front.id, "left_semi").join(seen, both.target == seen.id, "left_anti")
-        step = step.groupBy(F.col("target").alias("id")).agg(F.min(F.struct("source", "relation", "forward")).alias("via"))
+        out = edges.leaving(front).select(F.col("target").alias("id"), F.struct("source", "relation", F.lit(True).alias("forward")).alias("via"))
+        into = edges.entering(front).select(F.col("source").alias("id"), F.struct(F.col("target").alias("source"), "relation", F.lit(False).alias("forward")).alias("via"))
+        step = out.unionByName(into).join(seen, "id", "left_anti").groupBy("id").agg(F.min("via").alias("via"))
         step = cut(step)
-        if step.isEmpty():
+        front = Front(step)
+        if not front.n:
             return []
         steps.append(step)
         if not step.where(F.col("id") == end).isEmpty():
@@ -104,8 +126,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int | None = Non
                 path.append((via["source"], via["relation"], at, via["forward"]))
                 at = via["source"]
             return path[::-1]
-        front = step.select("id")
-        seen = seen.unionByName(front)
+        seen = seen.unionByName(front.ids)
     return []
 
 
@@ -128,9 +149,12 @@ def capped(rows: DataFrame, group: str, cap: int, most: int, order: list[Column]
     return rows.withColumn("_n", rank).where(F.col("_n") <= cap).drop("_n").orderBy(*order).limit(most)
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """id, degree: edges out and in; a self-loop counts twice."""
-    return edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
+def degrees(edges: DataFrame | Adjacency) -> DataFrame:
+    """id, degree: edges out and in; a self-loop counts twice. Of a layout each side is counted in its own buckets."""
+    edges = adjacency(edges)
+    out = edges.by_source.groupBy(F.col("source").alias("id")).agg(F.count("*").alias("n"))
+    into = edges.by_target.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n"))
+    return out.unionByName(into).groupBy("id").agg(F.sum("n").alias("degree"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,15 +1,12 @@
-"""Pages and chunks: URLs, HTML parts by pattern, sections, splitting, and extraction records."""
+"""Pages and chunks: URLs, parts of clean HTML by pattern (``page_tree`` parses any), fixed chunks, extraction records."""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from ..functions.text import collapse
+from ..sources.ordering import running_total
 
 #: Extensions of files that are no pages; callers may pass others.
 SKIPPED = ["pdf", "jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "css", "js", "zip", "rar", "mp4", "mp3", "avi", "mov"]
@@ -28,7 +25,7 @@ def in_scope(url: Column, hosts: list[str], prefix: str = "/") -> Column:
 
 def joined_url(base: Column, link: Column) -> Column:
     """A link as seen from its page: whole URLs as they are, others by the page's scheme, host or folder, dot
-    segments resolved one level at a time from the left, those above the root dropped."""
+    segments resolved from the left, however many, those above the root dropped."""
     scheme, host = F.regexp_extract(base, "^([a-zA-Z]+:)//", 1), F.regexp_extract(base, "^([a-zA-Z]+://[^/?#]*)", 1)
     folder = F.regexp_extract(F.regexp_replace(base, "[?#].*$", ""), "^([a-zA-Z]+://[^/]*(?:/.*)?)/[^/]*$", 1)
     folder = F.when(folder.rlike("^[a-zA-Z]+:/?$") | (folder == ""), host).otherwise(folder)
@@ -36,16 +33,17 @@ def joined_url(base: Column, link: Column) -> Column:
         F.when(link.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), link).when(F.startswith(link, F.lit("//")), F.concat(scheme, link)).when(F.startswith(link, F.lit("/")), F.concat(host, link))
         .when(F.startswith(link, F.lit("?")), F.concat(F.regexp_replace(base, "[?#].*$", ""), link)).when(F.startswith(link, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), link)).otherwise(F.concat(folder, F.lit("/"), link))
     )
-    full = F.regexp_replace(full, r"(?<=/)(?:\./)+", "")
-    for _ in range(4):
-        full = F.regexp_replace(full, r"(?<=[^/:]/)(?!\.\./)[^/?#]+/\.\./", "")
-        full = F.regexp_replace(full, r"^([a-zA-Z]+://[^/?#]*/)(?:\.\./)+", "$1")
-    return full
+    root, path, rest = (F.regexp_extract(full, "^([a-zA-Z]+://[^/?#]*)?([^?#]*)(.*)$", i) for i in (1, 2, 3))
+    steps = F.split(path, "/", -1)
+    # a path that ends in a dot segment ends in a slash
+    steps = F.when(F.element_at(steps, -1).isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
 
+    def walk(done: Column, step: Column) -> Column:
+        up = F.when(F.size(done) > 1, F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(done)
+        return F.when(step == ".", done).when(step == "..", up).otherwise(F.concat(done, F.array(step)))
 
-def has_content(blocks: DataFrame) -> DataFrame:
-    """page_id of pages with any heading, paragraph, list item or table."""
-    return blocks.where(F.col("kind").rlike("^(h[1-6]|p|li|table)$")).select("page_id").distinct()
+    resolved = F.array_join(F.aggregate(steps, F.array().cast("array<string>"), walk), "/")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)") & (root != ""), F.concat(root, resolved, rest)).otherwise(full)
 
 
 def rows_text(rows: Column) -> Column:
@@ -93,87 +91,6 @@ def paragraphs(pages: DataFrame, least: int = 20) -> DataFrame:
     return rows.select("page_id", F.col("ord").cast("long").alias("ord"), collapse(F.regexp_replace("raw", "<[^>]*>", " ")).alias("text")).where(F.length("text") > least)
 
 
-class _Blocks(HTMLParser):
-    """Headings, paragraphs, list items and tables in document order."""
-
-    NOISE = {"script", "style", "noscript", "iframe", "svg", "nav", "footer"}
-
-    ENDS_P = {"p", "ul", "ol", "table", "div", "section", "article", "nav", "footer", "h1", "h2", "h3", "h4", "h5", "h6"}
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.out, self.open, self.skip, self.rows = [], [], 0, None
-
-    def handle_starttag(self, tag, attrs):
-        if tag in self.ENDS_P:
-            self._close("p")
-        if tag in self.NOISE:
-            self.skip += 1
-        elif tag == "table":
-            self.rows = []
-        elif tag == "tr" and self.rows is not None:
-            self.rows.append([])
-        elif tag in ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th"):
-            self.open.append((tag, []))
-
-    def _close(self, tag):
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                text = " ".join("".join(self.open.pop(i)[1]).split())
-                if tag in ("td", "th"):
-                    if self.rows:
-                        self.rows[-1].append(text)
-                elif text:
-                    self.out.append((tag, text))
-                return
-
-    def handle_endtag(self, tag):
-        if tag in self.NOISE:
-            self.skip = max(0, self.skip - 1)
-        elif tag == "table" and self.rows is not None:
-            if text := "\n".join(" | ".join(c for c in r if c) for r in self.rows if any(r)):
-                self.out.append(("table", text))
-            self.rows = None
-        else:
-            self._close(tag)
-
-    def close(self):
-        super().close()
-        while self.open:
-            self._close(self.open[-1][0])
-
-    def handle_data(self, data):
-        if not self.skip:
-            for _, parts in self.open:
-                parts.append(data)
-
-
-def blocks(pages: DataFrame) -> DataFrame:
-    """page_id, ord, kind, text by a parser, for pages that patterns can't read; Arrow batches."""
-
-    def parse(batches):
-        for b in batches:
-            rows = []
-            for page, html in zip(b["page_id"], b["html"], strict=True):
-                p = _Blocks()
-                p.feed(html or "")
-                p.close()
-                rows += [(page, i, k, t) for i, (k, t) in enumerate(p.out)]
-            yield pd.DataFrame(rows, columns=["page_id", "ord", "kind", "text"]).astype({"page_id": "int64", "ord": "int64"})
-
-    return pages.select("page_id", "html").mapInPandas(parse, "page_id long, ord long, kind string, text string")
-
-
-def sections(blocks: DataFrame) -> DataFrame:
-    """page_id, buffer, section, text: h2 and h3 open a section; each run of text between is one chunk."""
-    w = Window.partitionBy("page_id").orderBy("ord")
-    head = F.col("kind").isin("h2", "h3")
-    rows = blocks.withColumn("buffer", F.sum(F.when(head, 1).otherwise(0)).over(w)).withColumn("section", F.coalesce(F.last(F.when(head, F.col("text")), ignorenulls=True).over(w), F.lit("General")))
-    rows = rows.where(~F.col("kind").isin("h1", "h2", "h3", "h4", "h5", "h6"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "kind", "text"))), lambda s: F.when(s["kind"] == "li", F.concat(F.lit("- "), s["text"])).otherwise(s["text"])), "\n")
-    return rows.groupBy("page_id", "buffer", "section").agg(text.alias("text"))
-
-
 def fixed_chunks(docs: DataFrame, size: int = 1100, overlap: int = 200) -> DataFrame:
     """doc_id, piece, text: windows of ``size`` characters, each ``overlap`` into the one before."""
     step = size - overlap
@@ -181,35 +98,10 @@ def fixed_chunks(docs: DataFrame, size: int = 1100, overlap: int = 200) -> DataF
     return docs.where(F.length("text") > 0).select("doc_id", "text", F.posexplode(starts).alias("piece", "at")).select("doc_id", F.col("piece").cast("long").alias("piece"), F.substring("text", F.col("at"), F.lit(size)).alias("text"))
 
 
-def split_text(text: str, size: int = 1100, overlap: int = 200, marks: tuple[str, ...] = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")) -> list[str]:
-    """Pieces of at most ``size``, cut behind the strongest mark in reach, each from ``overlap`` or less
-    before the last one's end."""
-    out, at = [], 0
-    while at < len(text):
-        end = min(len(text), at + size)
-        if end < len(text):
-            for m in marks:
-                if (cut := text.rfind(m, at + size // 2, end)) >= 0:
-                    end = cut + len(m)
-                    break
-        out.append(text[at:end])
-        if end == len(text):
-            break
-        back = text.find(" ", end - overlap, end)
-        at = max(at + 1, back + 1 if back >= 0 else end - overlap)
-    return out
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def recursive_chunks(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: split_text(t or ""))
-
-
 def number_chunks(chunks: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """chunk_n over all rows from 1, by group, then order: counts of groups are summed, so only one row
-    a group meets in one place and the rows themselves are numbered group by group."""
-    counts = chunks.groupBy(group).agg(F.count("*").alias("_n"))
-    base = counts.select(group, F.coalesce(F.sum("_n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    """chunk_n over all rows from 1, by group, then order: counts of groups are summed range by range, and the
+    rows themselves are numbered group by group."""
+    base = running_total(chunks.groupBy(group).agg(F.count("*").alias("_n")), F.col("_n"), "_base", group).select(group, "_base")
     rank = F.row_number().over(Window.partitionBy(group).orderBy(*order))
     return chunks.withColumn("_r", rank).join(base, group).withColumn("chunk_n", (F.col("_base") + F.col("_r")).cast("long")).drop("_r", "_base")
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lexicon import EXHAUSTIVE_PATTERN, EXHAUSTIVE_PHRASES, QUESTION_RULES
+from ..sources.adjacency import Adjacency, Front, adjacency
 from ..sources.shared import cut
 from ..functions.text import contains_any, content_tokens, cosine, first_rule, jaccard, plain, tokens
 
@@ -215,20 +216,19 @@ def vector_index(chunks: DataFrame, encode=None, dims: int = 64) -> DataFrame:
     return rows.join(vectors, "_k").drop("_k")
 
 
-def hybrid(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, query: str, priority: dict[str, int], k: int = 5, relations: int = 30) -> dict[str, DataFrame]:
+def hybrid(nodes: DataFrame, edges: DataFrame | Adjacency, chunks: DataFrame, query: str, priority: dict[str, int], k: int = 5, relations: int = 30) -> dict[str, DataFrame]:
     """entities, relationships and chunks for a query: the graph's best names, their edges by priority, and lexical chunks."""
     from .entities import search_max
     from .graph import described
 
     best = search_max(nodes, query).orderBy(F.desc("score"), "id").limit(k)
-    ids = best.select("id")
-    mine = edges.join(ids, edges.source == ids.id, "left_semi").unionByName(edges.join(ids, edges.target == ids.id, "left_semi")).distinct()
+    mine = adjacency(edges).touching(Front(best)).distinct()
     rank = F.coalesce(F.create_map(*[F.lit(x) for kv in priority.items() for x in kv])[F.col("relation")], F.lit(0)) if priority else F.lit(0)
     facts = described(mine, nodes).withColumn("priority", rank).orderBy(F.desc("priority"), "source", "relation", "target").limit(relations)
     return {"entities": best, "relationships": facts, "chunks": lexical(chunks, query, k)}
 
 
-def rag_edges(nodes: DataFrame, edges: DataFrame, query: str, k: int = 5, hops: int = 1) -> DataFrame:
+def rag_edges(nodes: DataFrame, edges: DataFrame | Adjacency, query: str, k: int = 5, hops: int = 1) -> DataFrame:
     """Edges within ``hops`` of the best names by word overlap, each once, with names."""
     from .entities import search_overlap
     from .graph import described, expand

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon
 from ..functions.text import contains_any, first_rule, jaccard, plain, similarity_name, tokens
+from ..operators import chunking as S
 from ..operators import entities as E
 from ..operators import graph as G
+from ..operators import page_tree as T
 from ..operators import pages as P
 from ..operators import retrieval as R
+from ..sources.adjacency import Front, Graph, graph_of
 from ..sources.views import GRAPH, NODES, edges, nodes, raw_edges, read
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +55,11 @@ def _ids(spark: SparkSession, *ids: str) -> DataFrame:
     return spark.createDataFrame([(i,) for i in ids], "id string")
 
 
+def graph(spark: SparkSession, d: str) -> Graph:
+    """The graph of a folder's tables, laid out for traversal at its first use in a session."""
+    return graph_of(spark, d, lambda: nodes(spark, d), lambda: raw_edges(spark, d))
+
+
 def mentions(spark, d):
     """Names of parts, brands and kinds with their case and punctuation varied by key."""
     p = read(spark, d, "part")
@@ -71,7 +79,8 @@ def type_histogram(spark, d):
 
 @query(f"{GRAPH} SELECT a.type AS source_type, relation, b.type AS target_type, count(*) AS n FROM edges JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target GROUP BY ALL")
 def relation_patterns(spark, d):
-    return G.described(edges(spark, d), nodes(spark, d)).groupBy("source_type", "relation", "target_type").agg(F.count("*").alias("n"))
+    g = graph(spark, d)
+    return G.described(g.edges.by_source, g.nodes).groupBy("source_type", "relation", "target_type").agg(F.count("*").alias("n"))
 
 
 @query(f"{GRAPH} SELECT id, name, type FROM nodes WHERE id NOT IN (SELECT source FROM edges WHERE relation = 'LOCATED_IN') AND id NOT IN (SELECT target FROM edges WHERE relation = 'LOCATED_IN')")
@@ -81,7 +90,8 @@ def orphan_nodes(spark, d):
 
 @query(f"{GRAPH}, deg AS (SELECT id, count(*) AS degree FROM (SELECT source AS id FROM edges UNION ALL SELECT target FROM edges) GROUP BY id) SELECT nodes.id AS id, name, degree FROM deg JOIN nodes ON nodes.id = deg.id ORDER BY degree DESC, nodes.id LIMIT 50")
 def top_degree(spark, d):
-    return G.degrees(edges(spark, d)).join(nodes(spark, d), "id").select("id", "name", "degree").orderBy(F.desc("degree"), "id").limit(50)
+    g = graph(spark, d)
+    return G.degrees(g.edges).join(g.nodes, "id").select("id", "name", "degree").orderBy(F.desc("degree"), "id").limit(50)
 
 
 _SEEDED = f"{GRAPH}, seeds AS (SELECT * FROM (VALUES ('customer:1'), ('supplier:3'), ('nation:5')) s(id))"
@@ -93,26 +103,27 @@ def _three(spark):
 
 @query(f"{_SEEDED} SELECT seed, direction, relation, nodes.id AS id, name, type FROM (SELECT source AS seed, 'out' AS direction, relation, target AS id FROM edges WHERE source IN (FROM seeds) UNION ALL SELECT target, 'in', relation, source FROM edges WHERE target IN (FROM seeds)) e JOIN nodes ON nodes.id = e.id")
 def one_hop_neighbors(spark, d):
-    return G.neighbours(edges(spark, d), nodes(spark, d), _three(spark))
+    g = graph(spark, d)
+    return G.neighbours(g.edges, g.nodes, _three(spark))
 
 
 @query(f"""{_SEEDED}, e AS (SELECT * FROM edges WHERE source <> target), h1 AS (SELECT DISTINCT * FROM e WHERE source IN (FROM seeds) OR target IN (FROM seeds)),
  f AS (SELECT source AS id FROM h1 UNION SELECT target FROM h1 EXCEPT FROM seeds), h2 AS (SELECT * FROM e WHERE source IN (FROM f) EXCEPT SELECT * FROM h1)
  SELECT *, 1 AS hop FROM h1 UNION ALL SELECT *, 2 FROM h2""")
 def two_hop_expand(spark, d):
-    return G.expand(edges(spark, d), _three(spark), 2)
+    return G.expand(graph(spark, d).edges, _three(spark), 2)
 
 
 @query(f"""{GRAPH}, b AS (SELECT source, target FROM edges UNION SELECT target, source FROM edges), h0 AS (SELECT 'customer:1' AS id), h1 AS (SELECT target AS id FROM b WHERE source IN (FROM h0) EXCEPT FROM h0),
  h2 AS (SELECT target AS id FROM b WHERE source IN (FROM h1) EXCEPT (FROM h0 UNION FROM h1)), h3 AS (SELECT target AS id FROM b WHERE source IN (FROM h2) EXCEPT (FROM h0 UNION FROM h1 UNION FROM h2))
  SELECT id, 0 AS hops FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2 UNION ALL SELECT id, 3 FROM h3""")
 def path_lengths(spark, d):
-    return G.distances(edges(spark, d), _ids(spark, "customer:1"), 3)
+    return G.distances(graph(spark, d).edges, _ids(spark, "customer:1"), 3)
 
 
 @query()
 def shortest_path_steps(spark, d):
-    steps = G.shortest_path(edges(spark, d), "customer:1", "region:0")
+    steps = G.shortest_path(graph(spark, d).edges, "customer:1", "region:0")
     return spark.createDataFrame([(i, *s) for i, s in enumerate(steps)], "step int, source string, relation string, target string, forward boolean")
 
 
@@ -123,7 +134,8 @@ def shortest_path_steps(spark, d):
  SELECT source, relation, target, score, strong FROM (SELECT *, row_number() OVER (PARTITION BY relation ORDER BY score DESC, source, target) AS n FROM y) WHERE n <= 6 ORDER BY score DESC, source, target LIMIT 18""")
 def edge_score_topk(spark, d):
     seeds = _three(spark).withColumn("score", F.when(F.col("id") == "customer:1", 100).otherwise(75))
-    rows = G.described(G.expand(edges(spark, d), seeds, 1), nodes(spark, d))
+    g = graph(spark, d)
+    rows = G.described(G.expand(g.edges, seeds, 1), g.nodes)
     scored = G.edge_scores(rows, seeds, ["BOUGHT"], ["red", "gear"], ["part"]).select("source", "relation", "target", "score", "strong")
     return G.capped(scored, "relation", 6, 18, [F.desc("score"), F.col("source"), F.col("target")])
 
@@ -133,8 +145,7 @@ _PRIORITY = "CASE relation " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in lexic
 
 @query(f"{_SEEDED} SELECT source, relation, target, {_PRIORITY} AS priority FROM edges WHERE source IN (FROM seeds) OR target IN (FROM seeds) ORDER BY priority DESC, source, relation, target LIMIT 30")
 def priority_relationships(spark, d):
-    e, s = edges(spark, d), _three(spark)
-    mine = e.join(s, e.source == s.id, "left_semi").unionByName(e.join(s, e.target == s.id, "left_semi")).distinct()
+    mine = graph(spark, d).edges.touching(Front(_three(spark)))
     priority = F.lit(0)
     for k, v in lexicon.RELATION_PRIORITY.items():
         priority = F.when(F.col("relation") == k, v).otherwise(priority)
@@ -146,7 +157,8 @@ def context_lines(spark, d):
     from pyspark.sql import Window
 
     rank = F.row_number().over(Window.partitionBy("seed", "direction").orderBy("relation", "id"))
-    rows = G.neighbours(edges(spark, d), nodes(spark, d), _three(spark)).withColumn("r", rank).where("r <= 20")
+    g = graph(spark, d)
+    rows = G.neighbours(g.edges, g.nodes, _three(spark)).withColumn("r", rank).where("r <= 20")
     lines = F.array_sort(F.collect_list(F.struct("r", F.concat_ws(" ", "relation", "name").alias("x"))))
     return rows.groupBy("seed", "direction").agg(F.array_join(F.transform(lines, lambda s: s["x"]), "; ").alias("lines"))
 
@@ -372,8 +384,8 @@ def exhaustive_questions(spark, d):
 
 @query(f"{_SEEDED}, x AS (SELECT DISTINCT a.name AS s, relation, b.name AS t FROM edges JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE source IN (FROM seeds)) SELECT s AS source_name, relation, s || ' -[' || relation || ']-> ' || string_agg(t, ', ' ORDER BY t) AS line, count(*) AS n FROM x GROUP BY s, relation")
 def edge_render_groups(spark, d):
-    e, s = edges(spark, d), _three(spark)
-    return R.render_groups(G.described(e.join(s, e.source == s.id, "left_semi"), nodes(spark, d)))
+    g = graph(spark, d)
+    return R.render_groups(G.described(g.edges.leaving(Front(_three(spark))), g.nodes))
 
 
 @query("SELECT url, arg_max(title, (relevance, title)) AS title, max(relevance) AS relevance FROM (SELECT source AS url, lang AS title, n_chars AS relevance FROM documents) GROUP BY url ORDER BY relevance DESC, url LIMIT 4")
@@ -423,7 +435,7 @@ def fixed_chunks(spark, d):
 
 @query()
 def split_chunks(spark, d):
-    return read(spark, d, "documents").select("doc_id", F.posexplode(P.recursive_chunks("text")).alias("piece", "text"))
+    return read(spark, d, "documents").select("doc_id", F.posexplode(S.split(F.col("text"))).alias("piece", "text"))
 
 
 @query("WITH s AS (SELECT doc_id, text, unnest(range(1, greatest(length(text) - 200, 1) + 1, 900)) AS pos FROM documents WHERE length(text) > 0) SELECT doc_id, ((pos - 1) // 900)::BIGINT AS piece, row_number() OVER (ORDER BY doc_id, pos) AS chunk_n FROM s")
@@ -433,7 +445,7 @@ def chunk_ids(spark, d):
 
 @query()
 def page_sections(spark, d):
-    return P.sections(P.blocks(read(spark, d, "pages")))
+    return S.section_runs(T.ordered_blocks(T.page_trees(read(spark, d, "pages"))))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE json_extract(props, '$.k')::BIGINT END AS k FROM events")
@@ -469,4 +481,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import resolution  # noqa: E402, F401  registers its queries here
+from . import page_queries, resolution  # noqa: E402, F401  they register their queries here

@@ -9,12 +9,13 @@ from ..functions.text import STOPWORDS, plain
 from ..operators import cleaning as C
 from ..operators import entities as E
 from ..operators import graph as G
+from ..operators import page_tree as T
 from ..operators import pages as P
 from ..operators import paths as W
 from ..operators import retrieval as R
 from ..sources.json_tables import read_json, write_json
 from ..sources.views import GRAPH, NODES, edges, nodes, raw_edges, read
-from .queries import _KEY, _any, _chunks, _list, _plain, _tokens, query
+from .queries import _KEY, _any, _chunks, _list, _plain, _tokens, graph, query
 
 _TYPES = {"PROMO PLATED TIN": "Promo", "LARGE": "Large part", "SMALL": "Small part"}
 _RELATIONS = {"IS_OF": "IS_A"}
@@ -178,7 +179,7 @@ def import_verify(spark, d):
 
 @query(f"{GRAPH} SELECT kind, name FROM (SELECT 'relation' AS kind, relation AS name FROM edges UNION SELECT 'type', type FROM nodes WHERE type IS NOT NULL) ORDER BY kind, name LIMIT 400")
 def schema_discovery(spark, d):
-    relations = edges(spark, d).select(F.lit("relation").alias("kind"), F.col("relation").alias("name")).distinct()
+    relations = graph(spark, d).edges.by_source.select(F.lit("relation").alias("kind"), F.col("relation").alias("name")).distinct()
     types = nodes(spark, d).where("type IS NOT NULL").select(F.lit("type").alias("kind"), F.col("type").alias("name")).distinct()
     return relations.unionByName(types).orderBy("kind", "name").limit(400)
 
@@ -199,7 +200,7 @@ def page_targets(spark, d):
 
 @query()
 def pages_with_content(spark, d):
-    return P.has_content(P.blocks(read(spark, d, "pages")))
+    return T.with_content(T.page_trees(read(spark, d, "pages"))).select("page_id")
 
 
 @query("SELECT r_regionkey AS id, string_agg(n_nationkey::VARCHAR || ' | ' || n_name, chr(10) ORDER BY n_nationkey) AS rows, string_agg('key: ' || n_nationkey || ' | name: ' || n_name, chr(10) ORDER BY n_nationkey) AS records, 'nations: ' || count(*) AS record FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")
@@ -224,8 +225,9 @@ def json_round_trip(spark, d):
 
 @query(f"{GRAPH} SELECT 'supplier:3' AS seed, 'out' AS direction, relation, nodes.id AS id, name, type FROM edges JOIN nodes ON nodes.id = target WHERE source = 'supplier:3' AND relation = 'SUPPLIES'")
 def relation_lookup(spark, d):
-    best = nodes(spark, d).where("id = 'supplier:3'")
-    return W.relation_query(edges(spark, d), nodes(spark, d), best, "supplies", "out")
+    g = graph(spark, d)
+    best = g.nodes.where("id = 'supplier:3'")
+    return W.relation_query(g.edges, g.nodes, best, "supplies", "out")
 
 
 _LINKS = f"""{GRAPH}, links AS (SELECT source AS a, target AS b, relation || '>' AS step FROM edges WHERE source <> target UNION ALL SELECT target, source, relation || '<' FROM edges WHERE source <> target), l AS (SELECT a, b, min(step) AS step FROM links GROUP BY a, b),
@@ -235,7 +237,7 @@ _LINKS = f"""{GRAPH}, links AS (SELECT source AS a, target AS b, relation || '>'
 
 
 def _paths(spark, d):
-    return W.entity_paths(edges(spark, d), ["customer:1", "supplier:3"], ["nation:5", "region:2"])
+    return W.entity_paths(graph(spark, d).edges, ["customer:1", "supplier:3"], ["nation:5", "region:2"])
 
 
 @query(f'{_LINKS} SELECT start, fin AS "end", length, path FROM best WHERE r = 1 ORDER BY length, start, fin LIMIT 6')
@@ -246,12 +248,12 @@ def entity_paths(spark, d):
 @query(f"""{_LINKS}, parts AS (SELECT start, fin, unnest(string_split(path, ' ')) AS part, unnest(range(len(string_split(path, ' ')))) AS i FROM best WHERE r = 1)
  SELECT start, fin AS "end", string_agg(CASE WHEN i % 2 = 0 THEN coalesce(name, part) || ' [' || coalesce(type, '?') || ']' WHEN part LIKE '%>' THEN '--' || rtrim(part, '>') || '-->' ELSE '<--' || rtrim(part, '<') || '--' END, ' ' ORDER BY i) AS line FROM parts LEFT JOIN nodes ON nodes.id = part GROUP BY start, fin""")
 def rendered_paths(spark, d):
-    return W.rendered(_paths(spark, d), nodes(spark, d))
+    return W.rendered(_paths(spark, d), graph(spark, d).nodes)
 
 
 @query(f"{GRAPH}, t AS (SELECT DISTINCT relation FROM edges), x AS (SELECT relation, CASE WHEN contains(relation, 'SUPPLIE') OR contains('SUPPLIE', relation) THEN 0 WHEN relation = 'BOUGHT' THEN 1 WHEN {_any('relation', lexicon.RELATION_KEYWORDS['relationship'])} THEN 2 END AS ord FROM t) SELECT relation, ord FROM x WHERE ord IS NOT NULL")
 def relation_type_choice(spark, d):
-    return W.relation_types(edges(spark, d), ["supplie", "bought", ""], lexicon.RELATION_KEYWORDS["relationship"])
+    return W.relation_types(graph(spark, d).edges.by_source, ["supplie", "bought", ""], lexicon.RELATION_KEYWORDS["relationship"])
 
 
 @query(f"WITH {NODES}, n AS (SELECT id, name, trim(regexp_replace(regexp_replace(lower(name), '[.,;:()\\-/&]', ' ', 'g'), ' +', ' ', 'g')) AS n FROM nodes WHERE type = 'Part') SELECT id, name, 3 AS tier, 1.0::DOUBLE AS score FROM n WHERE contains(n, 'gear') AND NOT EXISTS (SELECT 1 FROM n WHERE n = 'gear')")
@@ -341,14 +343,15 @@ def analysed_questions(spark, d):
 
 @query()
 def hybrid_evidence(spark, d):
-    got = R.hybrid(nodes(spark, d), edges(spark, d), _chunks(spark, d), "Blue Gear Box", lexicon.RELATION_PRIORITY)
+    g = graph(spark, d)
+    got = R.hybrid(g.nodes, g.edges, _chunks(spark, d), "Blue Gear Box", lexicon.RELATION_PRIORITY)
     facts = got["relationships"].select(F.lit("relationship").alias("kind"), F.concat_ws(" ", "source", "relation", "target").alias("what"))
     return got["entities"].select(F.lit("entity").alias("kind"), F.col("id").alias("what")).unionByName(facts).unionByName(got["chunks"].select(F.lit("chunk").alias("kind"), F.col("chunk_id").cast("string").alias("what")))
 
 
 @query()
 def rag_context(spark, d):
-    return R.render_groups(R.rag_edges(nodes(spark, d), edges(spark, d), "nation_3 asia"))
+    return R.render_groups(R.rag_edges(graph(spark, d).nodes, graph(spark, d).edges, "nation_3 asia"))
 
 
 @query("SELECT doc_id AS chunk_id, 64 AS dims, 1.0::DOUBLE AS length FROM documents WHERE trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) <> ''")
@@ -363,5 +366,6 @@ def vector_index(spark, d):
  FROM h JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target LEFT JOIN seeds sa ON sa.id = source LEFT JOIN seeds sb ON sb.id = target""")
 def edge_scores_two_hops(spark, d):
     seeds = spark.createDataFrame([("customer:1", 100), ("supplier:3", 75)], "id string, score int")
-    rows = G.described(G.expand(edges(spark, d), seeds, 2), nodes(spark, d))
+    g = graph(spark, d)
+    rows = G.described(G.expand(g.edges, seeds, 2), g.nodes)
     return G.edge_scores(rows, seeds, [], [], ["nation"]).select("source", "relation", "target", "hop", "score")

@@ -8,7 +8,6 @@ from oracle import compare
 import kgraph.plans.queries as Q
 from kgraph.operators import entities as E
 from kgraph.operators import graph as G
-from kgraph.operators import pages as P
 
 DIR = "/root/testdata/sf0.001"
 
@@ -57,23 +56,6 @@ def test_leaders_follow_the_sequential_rule(spark):
         assert {r.id: r.leader for r in got.collect()} == want
 
 
-def test_blocks_and_sections(spark):
-    html = "<title>t</title><nav><p>menu</p></nav><h1>Top</h1><p>before</p><h2>One</h2><p>a<p>b<ul><li>x</li><li>y</li></ul><h3>Two</h3><table><tr><th>k</th><th>v</th></tr><tr><td>1</td><td></td></tr></table><script>'</p>'</script>"
-    rows = {(r.section, r.text) for r in P.sections(P.blocks(spark.createDataFrame([(1, html), (2, None)], "page_id long, html string"))).collect()}
-    assert rows == {("General", "before"), ("One", "a\nb\n- x\n- y"), ("Two", "k | v\n1")}
-
-
-def test_split_text_invariants():
-    rng = random.Random(1)
-    for _ in range(50):
-        text = "".join(rng.choice(["word ", "x", ". ", "\n", "é, "]) for _ in range(rng.randint(0, 900)))
-        parts, at = P.split_text(text, 110, 20), 0
-        for p in parts:
-            assert len(p) <= 110 and (i := text.find(p, max(0, at - 20))) <= at
-            at = i + len(p)
-        assert at == len(text)
-
-
 def test_incremental_stream(spark, tmp_path):
     from kgraph.streaming.incremental import extract_new
 
