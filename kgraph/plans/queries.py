@@ -481,4 +481,4 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
-from . import flow_queries, page_queries, resolution  # noqa: E402, F401  they register their queries here
+from . import flow_queries, page_queries, question_queries, resolution  # noqa: E402, F401  they register their queries here
