@@ -18,6 +18,8 @@ looked at.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, size_of, stored
+from .common import cut, partitions, size_of, stored, swept
 from .kernels import LOWER, lean, mix, slabs, word_bounds, word_hashes
 
 #: Bytes of text in a shard.
@@ -38,21 +40,49 @@ BREAK = np.zeros(256, bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP = BREAK.copy()
 GAP[[0x20, 0x09]] = True
-SHARDS = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary()), ("sizes", pa.binary()), ("positions", pa.binary())])
-SHARDS_DDL = "shard long, bucket int, packed binary, sizes binary, positions binary"
+SHARDS = pa.schema([("shard", pa.int64()), ("bucket", pa.int32()), ("packed", pa.binary()), ("n", pa.int64()), ("sizes", pa.binary()), ("positions", pa.binary())])
+SHARDS_DDL = "shard long, bucket int, packed binary, n long, sizes binary, positions binary"
 FOUND = pa.schema([("shard", pa.int64()), ("idx", pa.binary()), ("ids", pa.binary()), ("id", pa.int64()), ("f", pa.int64()), ("lang", pa.string()), ("word", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 FOUND_DDL = "shard long, idx binary, ids binary, id long, f long, lang string, word string, a long, b long, n long"
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Integers under 2**32 or 2**63 as differences, byte by byte of all of them, compressed: lists are sorted, names nearly."""
+    wide = np.uint32 if values.dtype.itemsize == 4 else np.uint64
+    steps = np.diff(values.astype(wide), prepend=wide(0))
+    planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, values.dtype.itemsize).T)
+    return pa.compress(planes, "zstd", asbytes=True) if len(values) else b""
+
+
+def restored(blob: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(blob, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n)
+    steps = np.ascontiguousarray(planes.T).view(np.uint32 if width == 4 else np.uint64).ravel()
+    return np.cumsum(steps, dtype=steps.dtype).astype(kind)
+
+
 def packed(rows: pa.Table) -> bytes:
+    """Columns of integers squeezed, others as they are."""
+    columns = {c: squeezed(rows.column(c).to_numpy()) if pa.types.is_integer(rows.schema.field(c).type) else rows.column(c).combine_chunks() for c in rows.column_names}
+    text = pa.table({c: v for c, v in columns.items() if not isinstance(v, bytes)})
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(rows)
-    return sink.getvalue().to_pybytes()
+    with pa.ipc.new_stream(sink, text.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        if text.num_columns:
+            out.write_table(text)
+    whole = {c: (v, np.dtype(rows.schema.field(c).type.to_pandas_dtype()).str) for c, v in columns.items() if isinstance(v, bytes)}
+    return pickle.dumps((rows.num_rows, whole, sink.getvalue().to_pybytes() if text.num_columns else None), protocol=5)
 
 
 def unpacked(blob: bytes) -> pa.Table:
-    return pa.ipc.open_stream(blob).read_all()
+    n, whole, text = pickle.loads(blob)
+    rows = pa.table({c: pa.array(restored(v, n, np.dtype(kind).type)) for c, (v, kind) in whole.items()})
+    if text is not None:
+        held = pa.ipc.open_stream(text).read_all()
+        for c in held.column_names:
+            rows = rows.append_column(c, held.column(c))
+    return rows
 
 
 def inverted(names: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -71,7 +101,7 @@ def listed(shard: int, keys: dict[str, pa.Array], hashes: np.ndarray, sizes: np.
     cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)].tolist() if len(bucket) else [0]
     out = [{"shard": shard, "bucket": int(bucket[x]), "packed": packed(rows.slice(x, y - x))} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
     if lists is not None:
-        out.append({"shard": shard, "sizes": sizes.astype(np.uint32).tobytes(), "positions": lists.astype(np.uint32).tobytes()})
+        out.append({"shard": shard, "sizes": squeezed(sizes.astype(np.uint32)), "n": len(sizes), "positions": squeezed(lists.astype(np.uint32))})
     return pa.Table.from_pylist(out, schema=SHARDS)
 
 
@@ -174,7 +204,7 @@ def summed(shards: DataFrame, buckets: int, least: int) -> DataFrame:
         own = np.flatnonzero(ids[which] >= 0)
         own = own[np.argsort(shard[own], kind="stable")]
         cuts = np.r_[0, np.flatnonzero(np.diff(shard[own])) + 1, len(own)].tolist() if len(own) else [0]
-        told = [{"shard": int(shard[own[x]]), "idx": idx[own[x:y]].tobytes(), "ids": ids[which[own[x:y]]].tobytes()} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        told = [{"shard": int(shard[own[x]]), "n": y - x, "idx": squeezed(idx[own[x:y]]), "ids": squeezed(ids[which[own[x:y]]])} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
         parts = [pa.Table.from_pylist(told, schema=FOUND), pa.table(out), *([counts] if counts is not None else [])]
         return pa.concat_tables([pa.Table.from_arrays([p.column(f.name).cast(f.type) if f.name in p.column_names else pa.nulls(p.num_rows, f.type) for f in FOUND], schema=FOUND) for p in parts])
 
@@ -188,12 +218,12 @@ def extended(shards: DataFrame, found: DataFrame, last: bool, buckets: int) -> D
         if not mine.num_rows or not answers.num_rows:
             return SHARDS.empty_table()
         row = mine.to_pylist()[0]
-        sizes = np.frombuffer(row["sizes"], np.uint32)
+        sizes = restored(row["sizes"], row["n"], np.uint32)
         ids = np.full(len(sizes), -1, np.int64)
-        for idx, own in zip(answers.column("idx").to_pylist(), answers.column("ids").to_pylist(), strict=True):
-            ids[np.frombuffer(idx, np.int32)] = np.frombuffer(own, np.int64)
+        for idx, own, n in zip(answers.column("idx").to_pylist(), answers.column("ids").to_pylist(), answers.column("n").to_pylist(), strict=True):
+            ids[restored(idx, n, np.int32)] = restored(own, n, np.int64)
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        positions = np.frombuffer(row["positions"], np.uint32).astype(np.int64)
+        positions = restored(row["positions"], len(owner), np.uint32).astype(np.int64)
         keep = ids[owner] >= 0
         owner, positions = owner[keep], positions[keep]
         order = np.argsort(positions, kind="stable")  # a merge of sorted lists
@@ -204,23 +234,27 @@ def extended(shards: DataFrame, found: DataFrame, last: bool, buckets: int) -> D
         hashes = mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
         return listed(row["shard"], {"a": pa.array(a), "b": pa.array(b)}, hashes, n, None if last else longer, buckets)
 
-    whole = shards.where("positions IS NOT NULL").select("shard", "sizes", "positions")
-    known = found.where("shard IS NOT NULL").select(F.col("shard").alias("of"), "idx", "ids")
+    whole = shards.where("positions IS NOT NULL").select("shard", "n", "sizes", "positions")
+    known = found.where("shard IS NOT NULL").select(F.col("shard").alias("of"), "n", "idx", "ids")
     return whole.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(lean(merge), SHARDS_DDL)
 
 
 def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """Words of each lang (lang, n), and for 1 to LONGEST words the phrases that occur ``least`` times: words as
     (id, lang, word, f), longer ones as (id, a, b, f), a and b the phrases without the last and the first word."""
-    buckets = max(partitions(docs.sparkSession), size_of(docs) // BUCKET)
-    shards, every, n = stored(word_lists(docs, buckets), "words"), [], None
+    spark = docs.sparkSession
+    buckets = max(partitions(spark), size_of(docs) // BUCKET)
+    # lists are checkpoints, whose files go as soon as the next level's are there
+    shards, every, n = cut(word_lists(docs, buckets)), [], None
     for words in range(1, LONGEST + 1):
-        found = stored(summed(shards, buckets, least), f"frequent-{words}")
+        found = cut(summed(shards, buckets, least))
         if words == 1:
-            n = found.where("n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n"))
-        every.append(found.where("id IS NOT NULL").select("id", "f", *(("lang", "word") if words == 1 else ("a", "b"))))
+            n = stored(found.where("lang IS NOT NULL AND n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+        frequent = found.where("id IS NOT NULL").select("id", "f", *(("lang", "word") if words == 1 else ("a", "b")))
+        every.append(stored(frequent, f"frequent-{words}"))
         if words < LONGEST:
-            shards = stored(extended(shards, found, words + 1 == LONGEST, buckets), f"lists-{words + 1}")
+            shards = cut(extended(shards, found, words + 1 == LONGEST, buckets))
+            swept(spark)
     return n, every
 
 
