@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import contains_any, first_rule, jaccard, plain, similarity_name, tokens
+from ..functions.text import contains_any, first_rule, jaccard, plain, similarity_name, strip_titles, tokens
 from ..operators import chunking as S
 from ..operators import entities as E
 from ..operators import graph as G
 from ..operators import page_tree as T
 from ..operators import pages as P
 from ..operators import retrieval as R
+from ..operators import similar as N
 from ..sources.adjacency import Front, Graph, graph_of
 from ..sources.views import GRAPH, NODES, edges, nodes, raw_edges, read
 
@@ -307,7 +308,19 @@ def keyword_suspects(spark, d):
 
 @query()
 def fuzzy_pairs(spark, d):
-    return E.fuzzy_pairs(nodes(spark, d).where("type in ('Part', 'Nation', 'Region')"), 0.88)
+    """Pairs that connect the alike names of all types; with ``similar_names`` they lose no link between different names."""
+    n = N.classes_of(nodes(spark, d), similarity_name(strip_titles(F.col("name"))))
+    return N.similar_links(n.where("id = rep").select("id", "type", "norm"), 0.88)
+
+
+@query()
+def similar_names(spark, d):
+    return N.similar_names(nodes(spark, d), 0.88)
+
+
+@query()
+def very_similar_names(spark, d):
+    return N.similar_names(nodes(spark, d).where(F.length("name") >= 5), 0.92).where("members > 1").groupBy("type", "class_id", "members").agg(F.min("id").alias("first"))
 
 
 @query()
