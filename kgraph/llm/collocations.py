@@ -18,7 +18,9 @@ looked at.
 
 from __future__ import annotations
 
+import gc
 import pickle
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -85,22 +87,22 @@ def unpacked(blob: bytes) -> pa.Table:
     return rows
 
 
-def inverted(names: np.ndarray, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The distinct names, the length of each one's list, and the lists end to end, each sorted."""
-    distinct, which, sizes = np.unique(names, return_inverse=True, return_counts=True)
-    return distinct, sizes, positions[np.argsort(which, kind="stable")]
-
-
-def listed(shard: int, keys: dict[str, pa.Array], hashes: np.ndarray, sizes: np.ndarray, lists: np.ndarray | None, buckets: int) -> pa.Table:
-    """A packed row for each bucket: names and lengths of the lists that it sums up, and their place in the shard;
-    and a row that holds the lists, if they are still needed."""
+def listed(shard: int, keys: dict[str, pa.Array], hashes: np.ndarray, which: np.ndarray, positions: np.ndarray, last: bool, buckets: int) -> pa.Table:
+    """The lists of a shard's names, the positions (in order) of each: a packed row for each bucket, the names and lengths
+    of the lists that it sums up; and a row that holds the lists end to end, in order of buckets and names, unless they
+    are the ``last``. ``which``: the name at each position."""
+    sizes = np.bincount(which, minlength=len(hashes))
     bucket = (hashes % np.uint64(buckets)).astype(np.int32)
-    order = np.argsort(bucket, kind="stable")
-    rows = pa.table({**keys, "n": pa.array(sizes.astype(np.int64)), "idx": pa.array(np.arange(len(sizes), dtype=np.int32))}).take(pa.array(order))
-    bucket = bucket[order]
+    ids = [keys[k].to_numpy() for k in ("b", "a") if k in keys]
+    order = np.lexsort((*ids, bucket))
+    rows = pa.table({**keys, "n": pa.array(sizes.astype(np.int64))}).take(pa.array(order))
+    bucket, sizes = bucket[order], sizes[order]
     cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(bucket)].tolist() if len(bucket) else [0]
-    out = [{"shard": shard, "bucket": int(bucket[x]), "packed": packed(rows.slice(x, y - x))} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-    if lists is not None:
+    out = [{"shard": shard, "bucket": int(bucket[x]), "n": x, "packed": packed(rows.slice(x, y - x))} for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    if not last:
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        lists = positions[np.argsort(place[which], kind="stable")]
         out.append({"shard": shard, "sizes": squeezed(sizes.astype(np.uint32)), "n": len(sizes), "positions": squeezed(lists.astype(np.uint32))})
     return pa.Table.from_pylist(out, schema=SHARDS)
 
@@ -118,12 +120,12 @@ def words_of(shard: int, langs: pa.Array, data: np.ndarray, bounds: np.ndarray,
     offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[~GAP[data]].tobytes())]).dictionary_encode()
     kinds = max(1, len(lang.dictionary))
-    distinct, sizes, lists = inverted(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * kinds + code, positions)
+    distinct, which = np.unique(words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * kinds + code, return_inverse=True)
     names, spelt = lang.dictionary.take(pa.array(distinct % kinds)).cast(pa.large_binary()), words.dictionary.take(pa.array(distinct // kinds))
     size = pc.cast(pc.cast(pc.binary_length(names), pa.string()), pa.large_binary())
     # the lang's length tells where the word begins
     key = pc.binary_join_element_wise(size, pc.binary_join_element_wise(names, spelt, pa.scalar(b"", pa.large_binary())), pa.scalar(b":", pa.large_binary()))
-    return listed(shard, {"key": key}, hashes_of(key), sizes, lists, buckets)
+    return listed(shard, {"key": key}, hashes_of(key), which, positions, False, buckets)
 
 
 def hashes_of(keys: pa.Array) -> np.ndarray:
@@ -168,7 +170,8 @@ def summed(shards: DataFrame, buckets: int, least: int) -> DataFrame:
         tables = [unpacked(x) for x in rows.column("packed").to_pylist()]
         shard = np.repeat(rows.column("shard").to_numpy(), [t.num_rows for t in tables])
         every = pa.concat_tables(tables)
-        n, idx = every.column("n").to_numpy(), every.column("idx").to_numpy()
+        n = every.column("n").to_numpy()
+        idx = np.concatenate([first + np.arange(t.num_rows, dtype=np.int32) for first, t in zip(rows.column("n").to_pylist(), tables, strict=True)]).astype(np.int32)
         if "key" in every.column_names:
             key = every.column("key").combine_chunks()
             key = (key.chunk(0) if isinstance(key, pa.ChunkedArray) else key).dictionary_encode()
@@ -208,7 +211,7 @@ def summed(shards: DataFrame, buckets: int, least: int) -> DataFrame:
         parts = [pa.Table.from_pylist(told, schema=FOUND), pa.table(out), *([counts] if counts is not None else [])]
         return pa.concat_tables([pa.Table.from_arrays([p.column(f.name).cast(f.type) if f.name in p.column_names else pa.nulls(p.num_rows, f.type) for f in FOUND], schema=FOUND) for p in parts])
 
-    return shards.where("bucket IS NOT NULL").select("bucket", "shard", "packed").groupBy("bucket").applyInArrow(lean(settle), FOUND_DDL)
+    return shards.where("bucket IS NOT NULL").select("bucket", "shard", "n", "packed").groupBy("bucket").applyInArrow(lean(settle), FOUND_DDL)
 
 
 def extended(shards: DataFrame, found: DataFrame, last: bool, buckets: int) -> DataFrame:
@@ -229,16 +232,23 @@ def extended(shards: DataFrame, found: DataFrame, last: bool, buckets: int) -> D
         order = np.argsort(positions, kind="stable")  # a merge of sorted lists
         owner, positions = owner[order], positions[order]
         at = np.flatnonzero(np.diff(positions) == 1)
-        distinct, n, longer = inverted(owner[at] * len(sizes) + owner[at + 1], positions[at])
+        distinct, which = np.unique(owner[at] * len(sizes) + owner[at + 1], return_inverse=True)
         a, b = ids[distinct // len(sizes)], ids[distinct % len(sizes)]
         hashes = mix(a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + b.astype(np.uint64))
-        return listed(row["shard"], {"a": pa.array(a), "b": pa.array(b)}, hashes, n, None if last else longer, buckets)
+        return listed(row["shard"], {"a": pa.array(a), "b": pa.array(b)}, hashes, which, positions[at], last, buckets)
 
     whole = shards.where("positions IS NOT NULL").select("shard", "n", "sizes", "positions")
     known = found.where("shard IS NOT NULL").select(F.col("shard").alias("of"), "n", "idx", "ids")
     return whole.groupBy("shard").cogroup(known.groupBy("of")).applyInArrow(lean(merge), SHARDS_DDL)
 
 
+def cleaned(spark) -> None:
+    """Lets files that no frame refers to any more go: once Python has let go of its own and told the driver, a moment later."""
+    gc.collect()
+    time.sleep(1)
+    swept(spark)
+
+
 def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataFrame]]:
     """Words of each lang (lang, n), and for 1 to LONGEST words the phrases that occur ``least`` times: words as
     (id, lang, word, f), longer ones as (id, a, b, f), a and b the phrases without the last and the first word."""
@@ -248,13 +258,15 @@ def frequent_phrases(docs: DataFrame, least: int) -> tuple[DataFrame, list[DataF
     shards, every, n = cut(word_lists(docs, buckets)), [], None
     for words in range(1, LONGEST + 1):
         found = cut(summed(shards, buckets, least))
+        cleaned(spark)
         if words == 1:
             n = stored(found.where("lang IS NOT NULL AND n IS NOT NULL").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
         frequent = found.where("id IS NOT NULL").select("id", "f", *(("lang", "word") if words == 1 else ("a", "b")))
         every.append(stored(frequent, f"frequent-{words}"))
         if words < LONGEST:
             shards = cut(extended(shards, found, words + 1 == LONGEST, buckets))
-            swept(spark)
+            del found
+            cleaned(spark)
     return n, every
 
 
@@ -305,16 +317,20 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, num: int = 8
 
 #: The same in DuckDB, with the query's parameters.
 SQL = """
-WITH pieces AS (
-  SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\\x0A-\\x0D]')) AS piece
-  FROM (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)
-), words AS (
-  SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+WITH texts AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS pieces
+  FROM documents
+), pieces AS (SELECT d, lang, unnest(range(len(pieces))) AS k, unnest(pieces) AS piece FROM texts),
+spelt AS (SELECT d, lang, k, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+words AS (SELECT d, lang, k, unnest(range(len(w))) AS i, unnest(w) AS w FROM spelt),
+grams AS (
+  SELECT lang, w AS a, lead(w) OVER p AS b, lead(w, 2) OVER p AS c, lead(w, 3) OVER p AS e FROM words WINDOW p AS (PARTITION BY d, k ORDER BY i)
 ), counts AS (
-  SELECT lang, g, m, count(*) AS f FROM (
-    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS g
-    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (VALUES (1), (2), (3), (4)) AS s(m)))
-  GROUP BY lang, g, m
+  SELECT lang, a AS g, 1 AS m, count(*) AS f FROM grams GROUP BY lang, g
+  UNION ALL SELECT lang, a || ' ' || b AS g, 2, count(*) FROM grams WHERE b IS NOT NULL GROUP BY lang, g
+  UNION ALL SELECT lang, a || ' ' || b || ' ' || c AS g, 3, count(*) FROM grams WHERE c IS NOT NULL GROUP BY lang, g
+  UNION ALL SELECT lang, a || ' ' || b || ' ' || c || ' ' || e AS g, 4, count(*) FROM grams WHERE e IS NOT NULL GROUP BY lang, g
 ), total AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE m = 1 GROUP BY lang),
 candidates AS (SELECT lang, g, m, f, string_split(g, ' ') AS w FROM counts WHERE m > 1 AND f >= 30),
 cuts AS (
