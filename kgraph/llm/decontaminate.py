@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
 from .kernels import LOWER, NOT_ALNUM, Slab, covered, lean, slabs, word_bounds, word_hashes
 
 #: Text of one block of the test set, in bytes; each block is broadcast by itself.
@@ -172,7 +173,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
         return rows.select("doc_id", "text").mapInArrow(lean(_digests(block)), OUT_DDL)
     found = None
     for k in range(n_blocks):
-        part = rows.select("doc_id", "copy", "text").mapInArrow(_found(block_of(k)), FOUND_DDL)
+        # one block at a time: what it finds is written before the next is read
+        block = block_of(k)
+        part = stored(rows.select("doc_id", "copy", "text").mapInArrow(_found(block), FOUND_DDL), "found")
+        block.unpersist()
         found = part if found is None else found.unionByName(part)
     merged = found.groupBy("doc_id", "copy").agg(F.max("n_words").alias("n_words"), F.collect_list("spans").alias("spans"), F.flatten(F.collect_list("items")).alias("items"), F.max("longest").alias("longest"))
     done = merged.mapInArrow(_merged, "copy int, " + OUT_DDL)

@@ -52,7 +52,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, spaced: bool = True
     """Writes the shards below ``path``. ``encoding``: "dictionary", or "delta" for binary-packed deltas."""
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"no such encoding: {encoding}")
-    options = {"compression": "zstd", "parquet.block.size": row_group_bytes, "parquet.page.size": 256 << 10, "parquet.page.row.count.limit": page_rows, "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.writer.version": "PARQUET_2_0" if encoding == "delta" else "PARQUET_1_0", "parquet.dictionary.page.size": 1 << 20}
+    # one file a shard, whatever the session says: places count from a file's first id
+    options = {"maxRecordsPerFile": 0, "compression": "zstd", "parquet.block.size": row_group_bytes, "parquet.page.size": 256 << 10, "parquet.page.row.count.limit": page_rows, "parquet.enable.dictionary": str(encoding == "dictionary").lower(), "parquet.writer.version": "PARQUET_2_0" if encoding == "delta" else "PARQUET_1_0", "parquet.dictionary.page.size": 1 << 20}
     token_rows(docs, tokenizer, spaced, end_id).write.options(**options).parquet(path)
 
 

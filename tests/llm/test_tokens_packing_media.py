@@ -47,6 +47,31 @@ def test_token_files(spark, tmp_path):
     assert tokens_round_trip(spark.createDataFrame([], DDL), BYTE).collect() == []
 
 
+def test_token_files_whatever_the_session_says(spark, tmp_path):
+    rows = [(i, f"text number {i} of many", "en", "c", 0) for i in range(200)]
+    df = spark.createDataFrame(rows, DDL)
+    want = sorted(map(tuple, tokens_round_trip(df, BYTE).collect()))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 10)
+    try:
+        assert sorted(map(tuple, tokens_round_trip(df, BYTE).collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def test_token_files_have_page_indexes_and_the_encoding_asked_for(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(i, f"text number {i} of many " * 40, "en", "c", 0) for i in range(3000)], DDL).coalesce(1)
+    for encoding, found in (("dictionary", "RLE_DICTIONARY"), ("delta", "DELTA_BINARY_PACKED")):
+        write_tokens(df, f"{tmp_path}/{encoding}", BYTE, encoding=encoding, page_rows=100)
+        file = max((tmp_path / encoding).glob("*.parquet"), key=lambda p: p.stat().st_size)
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        ids = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema == "doc_id")
+        tokens = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema.startswith("tokens"))
+        assert ids.has_column_index and ids.has_offset_index and tokens.has_offset_index
+        assert any(e == found or (found == "RLE_DICTIONARY" and e.endswith("DICTIONARY")) for e in tokens.encodings)
+
+
 def test_packing(spark):
     rows, lib = rows_of(2), Tokenizer.from_file(WORD)
     want = []
