@@ -26,11 +26,17 @@ def casefold(c: Column) -> Column:
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
 
 
-def match_key(c: Column) -> Column:
+def match_key(c: Column, aliases: dict[str, str] | None = None) -> Column:
     """Case-folded letters and digits alone; the collapsed name itself where none are left, so that
-    names in other scripts stay apart."""
-    key = F.regexp_replace(casefold(collapse(c)), "[^a-z0-9]+", "")
-    return F.when(key == "", collapse(c)).otherwise(key)
+    names in other scripts stay apart. ``aliases``: keys that stand for another name, whose key is taken."""
+    def key_of(x: Column) -> Column:
+        key = F.regexp_replace(casefold(collapse(x)), "[^a-z0-9]+", "")
+        return F.when(key == "", collapse(x)).otherwise(key)
+
+    if not aliases:
+        return key_of(c)
+    named = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
+    return key_of(F.coalesce(F.try_element_at(named, key_of(c)), c))
 
 
 def plain(c: Column) -> Column:

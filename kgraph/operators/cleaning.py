@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from itertools import chain
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import casefold, collapse, match_key, tokens
+from ..sources.shared import shared_folder
+from .entities import dedup_mentions, resolve_endpoints
 
 
 def mapped(c: Column, table: dict[str, str]) -> Column:
@@ -136,3 +141,66 @@ def chunk_number(chunk_id: Column, fallback: Column) -> Column:
 def prompt(template: str, kinds: list[str], relations: list[str], content: Column) -> Column:
     """``template`` has three places: types of entities, types of relations, the chunk."""
     return F.format_string(template, F.lit(", ".join(kinds)), F.lit(", ".join(relations)), content)
+
+
+@dataclass
+class CleanGraph:
+    nodes: DataFrame  # key, type, name, inferred
+    edges: DataFrame  # source, source_type, relation, target, target_type, source_name, target_name, n
+    report: DataFrame  # metric, value
+
+
+def _written(df: DataFrame, folder: str, name: str, **metrics: Column) -> tuple[DataFrame, dict[str, int]]:
+    """Writes a table and gives it back with metrics of it, counted as it was written."""
+    seen = Observation(name)
+    df.observe(seen, *[F.coalesce(c.cast("long"), F.lit(0)).alias(k) for k, c in metrics.items()]).write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}"), seen.get
+
+
+def clean_graph(mentions: DataFrame, relationships: DataFrame, expected: dict[tuple[str, str], str], type_table: dict[str, str], relation_table: dict[str, str]) -> CleanGraph:
+    """Typed nodes and edges of mentions(name, type, ord) and relationships(source, relation, target, ord), and a report of
+    what was found and changed: its counts are taken while the tables are written, so nothing is read for them.
+
+    ``expected``: the type of a relation's source and target. Names that no mention has become nodes, of the type that
+    their first reference expects, else Unknown."""
+    spark = mentions.sparkSession
+    folder = f"{shared_folder(spark)}/tables/clean-{uuid.uuid4().hex}"
+    count, changed = F.count(F.lit(1)), lambda c, table: F.sum(F.trim(c).isin(list(table)).cast("int"))
+    there = (F.coalesce(F.col("name"), F.lit("")) != "") & (F.coalesce(F.col("type"), F.lit("")) != "")
+    m, told = _written(mentions.where(there).select("name", "type", "ord"), folder, "mentions", raw_mentions=count, type_changes=changed(F.col("type"), type_table))
+    entities = dedup_mentions(m.withColumn("type", mapped(F.col("type"), type_table)))
+    entities, more = _written(entities.select("key", "type", "name", "ord"), folder, "entities", mentioned_nodes=count)
+    told |= more
+    r = relationships.select("source", "relation", "target", "ord", valid_ends(relationships).alias("valid"))
+    r, more = _written(r, folder, "relationships", raw_relationships=count, invalid_relationships=F.sum((~F.col("valid")).cast("int")), relation_changes=changed(F.when(F.col("valid"), F.col("relation")), relation_table))
+    told |= more
+    r = r.where("valid").withColumn("relation", mapped(F.col("relation"), relation_table))
+    sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("named"), F.lit(i).alias("i")) for i, s in enumerate(("source", "target"))]))
+    ends = r.select("ord", "relation", sides.alias("e")).select((2 * F.col("ord") + F.col("e.i")).alias("ord"), "relation", "e.side", match_key(F.col("e.named")).alias("key"), collapse(F.col("e.named")).alias("name"))
+    ends, _ = _written(resolve_endpoints(entities, ends, expected).select("ord", "side", "key", "type", "name"), folder, "ends", ends=count)
+    made = ends.join(entities.select("key").distinct(), "key", "left_anti").groupBy("key").agg(F.min_by("type", "ord").alias("type"), F.min_by("name", "ord").alias("name"))
+    nodes = entities.select("key", "type", "name", F.lit(False).alias("inferred")).unionByName(made.select("key", "type", "name", F.lit(True).alias("inferred")))
+    unknown = F.col("type") == "Unknown"
+    nodes, more = _written(nodes, folder, "nodes", unique_nodes=count, inferred_nodes=F.sum((F.col("inferred") & ~unknown).cast("int")), unknown_nodes=F.sum(unknown.cast("int")))
+    told |= more
+    half = lambda side, i: ends.where(F.col("side") == side).select(((F.col("ord") - i) / 2).cast("long").alias("ord"), F.col("key").alias(side), F.col("type").alias(f"{side}_type"), F.col("name").alias(f"{side}_name"))
+    edges = r.select(F.col("ord").cast("long").alias("ord"), "relation").join(half("source", 0), "ord").join(half("target", 1), "ord")
+    first = F.min_by(F.struct("source_name", "target_name"), "ord")
+    edges = edges.groupBy("source", "source_type", "relation", "target", "target_type").agg(first.alias("f"), count.alias("n")).select("source", "source_type", "relation", "target", "target_type", "f.source_name", "f.target_name", "n")
+    edges, more = _written(edges, folder, "edges", unique_edges=count, used_relationships=F.sum("n"))
+    told |= more
+    told["duplicate_mentions"] = told["raw_mentions"] - told["mentioned_nodes"]
+    told["duplicate_relationships"] = told["used_relationships"] - told["unique_edges"]
+    return CleanGraph(nodes, edges, spark.createDataFrame(sorted(told.items()), "metric string, value long"))
+
+
+def raw_lookup(mentions: DataFrame, relationships: DataFrame, names: list[str]) -> DataFrame:
+    """name, found, n: how often each name stands, once trimmed, as an entity, a source or a target; those that stand nowhere
+    are told as NOT FOUND."""
+    spark = mentions.sparkSession
+    places = mentions.select(F.trim("name").alias("name"), F.lit("entity").alias("found"))
+    for side in ("source", "target"):
+        places = places.unionByName(relationships.select(F.trim(side).alias("name"), F.lit(side).alias("found")))
+    hits = places.where(F.col("name").isin(names)).groupBy("name", "found").agg(F.count("*").alias("n"))
+    wanted = spark.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+    return wanted.join(hits, "name", "left").select("name", F.coalesce("found", F.lit("NOT FOUND")).alias("found"), F.coalesce("n", F.lit(0)).cast("long").alias("n"))

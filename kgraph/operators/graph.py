@@ -20,10 +20,11 @@ def last_wins(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
-def valid_relation(c: Column) -> Column:
-    """The upper-cased label, null where it is none."""
+def valid_relation(c: Column, strict: bool = False) -> Column:
+    """The upper-cased label; where it is none, null, or with ``strict`` an error that ends the job."""
     label = F.upper(F.trim(c))
-    return F.when(label.rlike("^[A-Z][A-Z0-9_]*$"), label)
+    ok = F.when(label.rlike("^[A-Z][A-Z0-9_]*$"), label)
+    return ok.otherwise(F.raise_error(F.concat(F.lit("no relation type: "), F.coalesce(c, F.lit("null"))))) if strict else ok
 
 
 def attached(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -170,6 +171,11 @@ def violations(rows: DataFrame, rules: dict[str, tuple[list[str], list[str]]]) -
     return rows.where(wrong)
 
 
+def wrong_targets(rows: DataFrame, relation: str, kinds: list[str]) -> DataFrame:
+    """Described edges of a relation whose target is of none of the types."""
+    return rows.where((F.col("relation") == relation) & ~F.coalesce(F.col("target_type"), F.lit("")).isin(kinds))
+
+
 def remap(edges: DataFrame, mapping: DataFrame) -> DataFrame:
     """Edges between new ids (mapping: id, new_id), without dangling ends, self-loops and repetitions."""
     a, b = mapping.select(F.col("id").alias("source"), F.col("new_id").alias("s")), mapping.select(F.col("id").alias("target"), F.col("new_id").alias("t"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import similarity_name, strip_titles
 from ..sources.shared import cut
+from .entities import ratio
 
 #: Names up to so many letters meet by runs of two, those of at least so many by runs of three.
 SHORT, LONG = 15, 12
@@ -46,15 +47,19 @@ def _keys(least: float, longest: int) -> Column:
     return F.when(F.col("k") == 2, F.element_at(table[2], F.col("size") + 1)).otherwise(F.coalesce(F.try_element_at(table[3], F.col("size") + 1), F.col("size")))
 
 
-def _linked(ids: list[str], norms: list[str], sides: np.ndarray | None, least: float) -> list[tuple[str, str, float]]:
-    """Links between names (in order of id) that join all alike ones; with ``sides`` of different sides alone."""
+def _linked(ids: list[str], norms: list[str], label: np.ndarray, sides: np.ndarray | None, least: float) -> list[tuple[str, str, float]]:
+    """Links between names (in order of id) that join all alike ones of different labels; with ``sides`` of different
+    sides alone."""
+    label = np.unique(label, return_inverse=True)[1]
+    if not label.any():  # one label
+        return []
     letters = sorted(set("".join(norms)))
     place = {c: i for i, c in enumerate(letters)}
     counts = np.zeros((len(norms), len(letters)), np.int16)
     for i, t in enumerate(norms):
         for c, n in Counter(t).items():
             counts[i, place[c]] = min(n, 32767)
-    size, label, out = np.array([len(t) for t in norms]), np.arange(len(norms)), []
+    size, out = np.array([len(t) for t in norms]), []
     for i in range(len(norms) - 1):
         later = np.arange(i + 1, len(norms))
         later = later[(label[later] != label[i]) & (2 * np.minimum(size[later], size[i]) >= least * (size[later] + size[i]))]
@@ -80,13 +85,28 @@ def classes_of(names: DataFrame, norm: Column) -> DataFrame:
     return n.join(n.groupBy("type", "norm").agg(F.min("id").alias("rep")), ["type", "norm"])
 
 
+def one_letter_apart(reps: DataFrame, least: float) -> DataFrame:
+    """a, b, score: names with the same text once one letter is masked, each with the least id of those, where that alone
+    makes them alike. No pair of a large group is made but with its first."""
+    long = reps.where(F.length("norm") * (1 - least) >= 1)
+    mask = F.transform(F.sequence(F.lit(1), F.length("norm")), lambda i: F.concat(F.substring(F.col("norm"), F.lit(1), i - 1), F.lit("\0"), F.substring(F.col("norm"), i + 1, F.length("norm"))))
+    masked = long.select("id", "type", F.explode(mask).alias("masked"))
+    lead = masked.groupBy("type", "masked").agg(F.min("id").alias("a"), F.count("*").alias("n")).where("n > 1")
+    near = masked.join(lead, ["type", "masked"]).where("a != id").select("a", F.col("id").alias("b")).distinct()
+    near = near.join(reps.select(F.col("id").alias("a"), F.col("norm").alias("x")), "a").join(reps.select(F.col("id").alias("b"), F.col("norm").alias("y")), "b")
+    return near.withColumn("score", F.round(ratio("x", "y"), 3)).where(F.col("score") >= least).select("a", "b", "score")
+
+
 def similar_links(reps: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
     """a, b, score: links between reps(id, type, norm), distinct norms of a type, that connect all those whose ratio, taken
     in order of id, is ``least`` or more. From 0.88 on, no link is lost."""
     if least < 0.88:
         raise ValueError("names under 0.88 need not share a run of letters")
     spark = reps.sparkSession
-    reps = reps.where(F.length("norm") >= 4).select("id", F.coalesce("type", F.lit("")).alias("type"), "norm", F.length("norm").alias("size"))
+    reps = cut(reps.where(F.length("norm") >= 4).select("id", F.coalesce("type", F.lit("")).alias("type"), "norm", F.length("norm").alias("size")))
+    sure = cut(one_letter_apart(reps, least))
+    # what these links join needn't be compared any more
+    reps = cut(reps.join(least_labels(sure), "id", "left").withColumn("label", F.coalesce("label", "id")))
     kinds = F.when(F.col("size") < LONG, F.array(F.lit(2))).when(F.col("size") <= SHORT, F.array(F.lit(2), F.lit(3))).otherwise(F.array(F.lit(3)))
     runs = reps.select("id", "type", "norm", "size", F.explode(kinds).alias("k"))
     at = F.transform(F.sequence(F.lit(1), F.col("size") - F.col("k") + 1), lambda i: F.substring(F.col("norm"), i, F.col("k")))
@@ -104,23 +124,23 @@ def similar_links(reps: DataFrame, least: float, block: int = BLOCK) -> DataFram
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
     dealt = met.select(F.xxhash64("type", "k", "run", "nth").alias("key"), "id", F.explode(tiles).alias("tile"), own.alias("side"), (F.col("blocks") > 1).alias("large"))
-    dealt = dealt.join(reps.select("id", "type", "norm"), "id")
+    dealt = dealt.join(reps.select("id", "type", "norm", "label"), "id")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), reps.count() // PART)
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("key", "tile"), F.lit(parts)).cast("int"))
 
     def verify(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("type", "ascending"), ("key", "ascending"), ("tile", "ascending"), ("id", "ascending")])
         kind, key, tile, side, large = (np.array(rows.column(c).to_pylist()) for c in ("type", "key", "tile", "side", "large"))
-        ids, norms, out = rows.column("id").to_pylist(), rows.column("norm").to_pylist(), []
+        ids, norms, label, out = rows.column("id").to_pylist(), rows.column("norm").to_pylist(), np.array(rows.column("label").to_pylist()), []
         edge = np.flatnonzero((kind[1:] != kind[:-1]) | (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])) + 1
         for x, y in zip([0, *edge.tolist()], [*edge.tolist(), len(ids)], strict=True):
             if y - x > 1:
                 two = large[x] and len(set(side[x:y].tolist())) > 1
-                out += _linked(ids[x:y], norms[x:y], side[x:y] if two else None, least)
+                out += _linked(ids[x:y], norms[x:y], label[x:y], side[x:y] if two else None, least)
         out = list(dict.fromkeys(out))
         return pa.table({"a": pa.array([r[0] for r in out], pa.string()), "b": pa.array([r[1] for r in out], pa.string()), "score": pa.array([r[2] for r in out], pa.float64())})
 
-    return dealt.groupBy("part").applyInArrow(verify, "a string, b string, score double").distinct()
+    return sure.unionByName(dealt.groupBy("part").applyInArrow(verify, "a string, b string, score double")).distinct()
 
 
 def least_labels(links: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators import paths as W
 from ..operators import retrieval as R
 from ..sources.json_tables import read_json, write_json
 from ..sources.views import GRAPH, NODES, edges, nodes, raw_edges, read
-from .queries import _KEY, _any, _chunks, _list, _plain, _tokens, graph, query
+from .queries import _KEY, _MENTIONS, _any, _chunks, _list, _plain, _tokens, graph, mentions, query
 
 _TYPES = {"PROMO PLATED TIN": "Promo", "LARGE": "Large part", "SMALL": "Small part"}
 _RELATIONS = {"IS_OF": "IS_A"}
@@ -335,7 +335,9 @@ def expanded_queries(spark, d):
     return read(spark, d, "conversations").select("conv_id", "turn", R.expanded_query(F.col("text"), kind, {"fees": "fees tuition"}, F.lit("Red Gear")).alias("query"))
 
 
-@query()
+@query(f"""SELECT conv_id, turn, CASE {' '.join(f"WHEN {_any('lower(text)', n)} THEN '{k}'" for k, n in lexicon.QUESTION_RULES)} ELSE 'general_information' END AS kind,
+ array_to_string(list_filter(string_split({_plain('text')}, ' '), lambda z: length(z) >= 3 AND NOT list_contains({_list(STOPWORDS)}, z) AND NOT list_contains({_list(lexicon.GENERIC_TOKENS)}, z))[1:4], ' ') AS terms,
+ {_any('lower(trim(text))', lexicon.EXHAUSTIVE_PHRASES)} OR regexp_matches(lower(trim(text)), '{lexicon.EXHAUSTIVE_PATTERN}') AS exhaustive FROM conversations WHERE role = 'user'""")
 def analysed_questions(spark, d):
     q = read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     return R.analysed(q, lexicon.GENERIC_TOKENS).select("conv_id", "turn", "kind", F.array_join("terms", " ").alias("terms"), "exhaustive")
@@ -369,3 +371,53 @@ def edge_scores_two_hops(spark, d):
     g = graph(spark, d)
     rows = G.described(G.expand(g.edges, seeds, 2), g.nodes)
     return G.edge_scores(rows, seeds, [], [], ["nation"]).select("source", "relation", "target", "hop", "score")
+
+
+_REPORT = f"""{_MENTIONS}, ment AS (SELECT name, CASE type WHEN 'Kind' THEN 'Category' ELSE type END AS type, ord, {_KEY} AS key FROM mentions WHERE name <> ''),
+ rel AS (SELECT CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_name END AS source, CASE WHEN p_partkey % 17 = 0 THEN NULL WHEN p_partkey % 49 = 0 THEN 'NEAR' WHEN p_partkey % 2 = 0 THEN 'IS_OF' ELSE 'IS_A' END AS relation, CASE WHEN p_partkey % 49 = 0 THEN 'nowhere ' || p_partkey WHEN p_partkey % 50 = 0 THEN p_type || ' extra' ELSE p_type END AS target, p_partkey AS ord FROM part),
+ ent AS (SELECT key, type, min(ord) AS ord FROM ment WHERE trim(name) <> '' GROUP BY key, type), ok AS (SELECT source, CASE relation WHEN 'IS_OF' THEN 'IS_A' ELSE relation END AS relation, target, ord FROM rel WHERE source <> '' AND relation IS NOT NULL),
+ ends AS (SELECT ord * 2 AS ord, ord AS o, 's' AS side, {_key('source')} AS key, CASE relation WHEN 'IS_A' THEN 'Name' END AS expected FROM ok UNION ALL SELECT ord * 2 + 1, ord, 't', {_key('target')}, CASE relation WHEN 'IS_A' THEN 'Category' END FROM ok),
+ made AS (SELECT key, coalesce(arg_min(coalesce(expected, 'Unknown'), ord), 'Unknown') AS type FROM ends WHERE key NOT IN (SELECT key FROM ent) GROUP BY key), early AS (SELECT key, arg_min(type, (ord, type)) AS type FROM ent GROUP BY key),
+ solved AS (SELECT o, side, ends.key AS key, coalesce(e.type, early.type, made.type) AS type FROM ends LEFT JOIN ent e ON e.key = ends.key AND e.type = expected LEFT JOIN early ON early.key = ends.key LEFT JOIN made ON made.key = ends.key),
+ links AS (SELECT a.key AS s, a.type AS st, relation, b.key AS t, b.type AS tt, count(*) AS n FROM ok JOIN solved a ON a.o = ord AND a.side = 's' JOIN solved b ON b.o = ord AND b.side = 't' GROUP BY ALL),
+ x AS (SELECT (SELECT count(*) FROM ment) AS raw_mentions, (SELECT count(*) FROM ment WHERE type = 'Category') AS type_changes, (SELECT count(*) FROM ent) AS mentioned_nodes, (SELECT count(*) FROM rel) AS raw_relationships, (SELECT count(*) FROM rel) - (SELECT count(*) FROM ok) AS invalid_relationships,
+ (SELECT count(*) FROM rel WHERE source <> '' AND relation = 'IS_OF') AS relation_changes, (SELECT count(*) FROM ent) + (SELECT count(*) FROM made) AS unique_nodes, (SELECT count(*) FROM made WHERE type <> 'Unknown') AS inferred_nodes, (SELECT count(*) FROM made WHERE type = 'Unknown') AS unknown_nodes,
+ (SELECT count(*) FROM links) AS unique_edges, (SELECT sum(n)::BIGINT FROM links) AS used_relationships)
+ SELECT metric, value FROM (UNPIVOT (SELECT *, raw_mentions - mentioned_nodes AS duplicate_mentions, used_relationships - unique_edges AS duplicate_relationships FROM x) ON COLUMNS(*) INTO NAME metric VALUE value)"""
+
+
+@query(f"WITH {_REPORT}")
+def cleaning_report(spark, d):
+    k = F.col("p_partkey")
+    relation = F.when(k % 17 == 0, F.lit(None)).when(k % 49 == 0, "NEAR").when(k % 2 == 0, "IS_OF").otherwise("IS_A")
+    target = F.when(k % 49 == 0, F.concat(F.lit("nowhere "), k.cast("string"))).when(k % 50 == 0, F.concat("p_type", F.lit(" extra"))).otherwise(F.col("p_type"))
+    rel = read(spark, d, "part").select(F.when(k % 13 == 0, "").otherwise(F.col("p_name")).alias("source"), relation.alias("relation"), target.alias("target"), k.alias("ord"))
+    return C.clean_graph(mentions(spark, d), rel, {("IS_A", "source"): "Name", ("IS_A", "target"): "Category"}, {"Kind": "Category"}, _RELATIONS).report
+
+
+@query(f"WITH {_MENTIONS}, {_REL}, p AS (SELECT trim(name) AS name, 'entity' AS found FROM mentions UNION ALL SELECT trim(source), 'source' FROM rel UNION ALL SELECT trim(target), 'target' FROM rel), w AS (SELECT unnest(['red gear', 'RED GEAR', 'Brand#13', 'nobody']) AS name), h AS (SELECT name, found, count(*) AS n FROM p GROUP BY ALL) SELECT w.name AS name, coalesce(found, 'NOT FOUND') AS found, coalesce(n, 0) AS n FROM w LEFT JOIN h USING (name)")
+def raw_lookup(spark, d):
+    return C.raw_lookup(mentions(spark, d), relationships(spark, d), ["red gear", "RED GEAR", "Brand#13", "nobody"])
+
+
+@query(f"{GRAPH} SELECT source, relation, target, a.name AS source_name, b.name AS target_name FROM edges JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE relation IN ('BOUGHT', 'LOCATED_IN') AND (source IN ('customer:1', 'nation:5') OR target IN ('customer:1', 'nation:5')) ORDER BY source, relation, target LIMIT 40")
+def fetch_edges(spark, d):
+    g, ids = graph(spark, d), spark.createDataFrame([("customer:1",), ("nation:5",)], "id string")
+    return G.fetched(g.edges, g.nodes, ids, ["BOUGHT", "LOCATED_IN"], "both", 40).select("source", "relation", "target", "source_name", "target_name")
+
+
+@query(f"{GRAPH} SELECT source, target, b.type AS target_type FROM edges JOIN nodes a ON a.id = source JOIN nodes b ON b.id = target WHERE relation = 'LOCATED_IN' AND b.type NOT IN ('Region', 'Customer')")
+def role_targets(spark, d):
+    g = graph(spark, d)
+    return G.wrong_targets(G.described(g.edges.by_source, g.nodes), "LOCATED_IN", ["Region", "Customer"]).select("source", "target", "target_type")
+
+
+@query()
+def path_by_names(spark, d):
+    g = graph(spark, d)
+    return W.path_query(g.nodes, g.edges, "NATION_3", "ASIA")
+
+
+@query("SELECT count(*) AS points, 64 AS dims FROM documents WHERE trim(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', ' ', 'g')) <> ''")
+def vector_index_status(spark, d):
+    return R.vector_index(_chunks(spark, d)).agg(F.count("*").alias("points"), F.max(F.size("vector")).alias("dims"))

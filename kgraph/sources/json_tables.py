@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Records of JSON files that hold one array each, or one record a line; a schema saves the pass that finds one."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Records of JSON files that hold one array each, or, with ``lines``, one record a line; a schema saves the pass that
+    finds one. Files of lines are split among tasks, an array is one task's."""
+    return spark.read.schema(schema).json(path, multiLine=not lines)
 
 
 def write_json(df: DataFrame, path: str) -> None:
@@ -18,13 +19,16 @@ def write_json(df: DataFrame, path: str) -> None:
 
     def arrays(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        first = True
+        empty = True
         for b in batches:
-            for i, x in enumerate(b.column("value").to_pylist()):
-                yield pa.RecordBatch.from_pydict({"value": [("[" if first and not i else ",") + x]})
-            first = first and not b.num_rows
-        if not first:
+            if not b.num_rows:
+                continue
+            marks = pa.array(["[" if empty else ","] + [","] * (b.num_rows - 1))
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, b.column(0), "")], names=["value"])
+            empty = False
+        if not empty:
             yield pa.RecordBatch.from_pydict({"value": ["]"]})
 
     rows.mapInArrow(arrays, "value string").write.mode("overwrite").text(path)
