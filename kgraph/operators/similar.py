@@ -119,7 +119,9 @@ def similar_links(reps: DataFrame, least: float, block: int = BLOCK) -> DataFram
     ordered = F.array_sort(F.collect_list(F.struct("n", "run", "nth")))
     first = rare.groupBy("id", "type", "size", "k").agg(ordered.alias("runs")).select("id", "type", "k", F.explode(F.slice("runs", F.lit(1), F.least(_keys(least, 400), F.size("runs")))).alias("r"))
     met = cut(first.select("id", "type", "k", "r.run", "r.nth"))
-    many = met.groupBy("type", "k", "run", "nth").agg(F.count("*").alias("n")).where("n > 1")
+    # a run whose names are all joined already has nothing to compare
+    many = met.join(reps.select("id", "label"), "id").groupBy("type", "k", "run", "nth").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    many = many.where("low != high").drop("low", "high")
     met = met.join(many, ["type", "k", "run", "nth"]).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     tiles = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, own) * F.col("blocks") + F.greatest(o, own))
