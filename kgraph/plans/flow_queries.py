@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import cleaning as C
 from ..operators import extraction as X
 from ..operators import retrieval as R
 from ..operators import vector_index as V
@@ -52,6 +53,25 @@ def extraction_store(spark, d):
     return stored_records(spark, path).select("chunk_id", "error", "characters")
 
 
+#: Answers of a model about each document, some cut off, some without a member that the table lacks.
+_RAW = """raw AS (SELECT doc_id, source, lang, n_chars, n_chars % 7 <> 0 AS whole, n_chars % 5 <> 0 AS linked FROM documents)"""
+
+
+@query(f"WITH {_RAW} SELECT doc_id, whole AND coalesce(source, '') <> '' AND coalesce(lang, '') <> '' AS valid FROM raw")
+def record_validity(spark, d):
+    quoted = lambda c: F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("null"))
+    link = F.when(F.col("n_chars") % 5 != 0, F.concat(F.lit('{"source":'), quoted("source"), F.lit(',"relation":"IN","target":'), quoted("lang"), F.lit("}"))).otherwise("")
+    raw = F.concat(F.lit('{"entities":[{"name":'), quoted("source"), F.lit(',"type":'), quoted("lang"), F.lit('}],"relationships":['), link, F.when(F.col("n_chars") % 7 != 0, "]}").otherwise(""))
+    return read(spark, d, "documents").select("doc_id", C.valid_record(raw).alias("valid"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 4 <> 0 THEN 8000 END::BIGINT AS token_limit, CASE WHEN doc_id % 4 <> 0 THEN n_chars // 4 END::BIGINT AS requested FROM documents")
+def model_errors(spark, d):
+    said = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("429 after "), F.col("n_chars").cast("string"), F.lit(" letters"))).otherwise(F.concat(F.lit("Request of "), "source", F.lit(" too large: Limit 8000, Requested "), F.floor(F.col("n_chars") / 4).cast("string")))
+    error = C.limit_error(said)
+    return read(spark, d, "documents").select("doc_id", error["limit"].alias("token_limit"), error["requested"].alias("requested"))
+
+
 @query()
 def vector_topk_cells(spark, d):
     v = read(spark, d, "embeddings")

@@ -166,3 +166,11 @@ def test_json_lines_and_arrays(spark, tmp_path):
     assert sorted(r.id for r in read_json(spark, f"{tmp_path}/array", "id long").collect()) == list(range(50))
     write_json(df.limit(0), f"{tmp_path}/none")
     assert read_json(spark, f"{tmp_path}/none", "id long").collect() == []
+
+
+def test_seeded_plans_read_few_relations(spark):
+    from kgraph.plans.queries import queries
+
+    for name in ("one_hop_neighbors", "two_hop_expand", "path_lengths", "entity_paths", "rag_context", "edge_scores_two_hops", "priority_relationships"):
+        plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") < 20 and "lineitem" not in plan, name
