@@ -18,8 +18,8 @@ from .shared import cut, shared_folder
 
 #: Ids of a frontier that become a filter of the scan, and those that are broadcast.
 LITERALS, BROADCAST = 200, 50_000
-#: Bytes of edges in a bucket, as Catalyst estimates them.
-BUCKET_BYTES = 128 << 20
+#: Edges in a bucket.
+BUCKET_EDGES = 2_000_000
 
 
 @dataclass
@@ -73,10 +73,10 @@ class Graph:
     edges: Adjacency
 
 
-def _buckets(df: DataFrame) -> int:
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(parts, min(1 << 16, -(-size // BUCKET_BYTES))) if size < 1 << 60 else parts
+def _buckets(edges: DataFrame) -> int:
+    """By the number of edges: an estimate of Catalyst's multiplies the sides of a join."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(parts, min(1 << 16, -(-edges.count() // BUCKET_EDGES)))
 
 
 def _laid(df: DataFrame, name: str, path: str, key: str, order: list[str], buckets: int) -> None:
@@ -89,8 +89,8 @@ def lay_out(nodes: DataFrame, edges: DataFrame, name: str | None = None) -> str:
     spark = nodes.sparkSession
     name = name or f"graph_{uuid.uuid4().hex}"
     path = f"{shared_folder(spark)}/graphs/{name}-{uuid.uuid4().hex}"
-    every = edges.select("source", "relation", "target").distinct()
-    buckets = _buckets(edges)
+    every = cut(edges.select("source", "relation", "target").distinct())
+    buckets = _buckets(every)
     _laid(nodes.select("id", "name", "type"), f"{name}_nodes", path, "id", ["id"], buckets)
     _laid(every, f"{name}_out", path, "source", ["source", "relation", "target"], buckets)
     _laid(spark.table(f"{name}_out"), f"{name}_in", path, "target", ["target", "relation", "source"], buckets)
