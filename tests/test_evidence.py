@@ -174,3 +174,11 @@ def test_seeded_plans_read_few_relations(spark):
     for name in ("one_hop_neighbors", "two_hop_expand", "path_lengths", "entity_paths", "rag_context", "edge_scores_two_hops", "priority_relationships"):
         plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
         assert plan.count("FileScan") < 20 and "lineitem" not in plan, name
+
+
+def test_texts_whose_signed_counts_cancel_are_indexed(spark):
+    # the tokens of "w0 w206" lie in one slot with opposite signs
+    rows = spark.createDataFrame([(1, "w0 w206"), (2, "w0"), (3, " ... "), (4, "W0, w206!"), (5, None)], "chunk_id int, content string")
+    got = {r.chunk_id: r.vector for r in R.vector_index(rows).collect()}
+    assert sorted(got) == [1, 2, 4] and got[1] == got[4]
+    assert all(len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-6 for v in got.values())
