@@ -18,8 +18,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine
 from ..sources.shared import cut, shared_folder
+from .retrieval import best_rows, matrix, ranked, regular
 
 #: Rows that centroids are fitted on, cells at most, and sample rows that stand for queries when probes are chosen.
 SAMPLE, MOST_CELLS, TRIALS = 20_000, 4096, 500
@@ -27,7 +27,7 @@ SAMPLE, MOST_CELLS, TRIALS = 20_000, 4096, 500
 
 @dataclass
 class CellIndex:
-    rows: DataFrame  # vec_id, embedding and what else the vectors had, by cell
+    rows: DataFrame | None  # vec_id, embedding and what else the vectors had, by cell
     centroids: np.ndarray
     probes: int
 
@@ -83,14 +83,19 @@ def build_index(vectors: DataFrame, cells: int | None = None, k: int = 10, targe
     return CellIndex(spark.read.parquet(path), centroids, probes)
 
 
+def _nearest_cells(queries: np.ndarray, index: CellIndex, probes: int | None) -> np.ndarray:
+    """The cells that each of the queries reads, nearest first."""
+    return np.argsort(-(queries @ index.centroids.T), axis=1, kind="stable")[:, : min(probes or index.probes, len(index.centroids))]
+
+
 def probed(index: CellIndex, queries: DataFrame, probes: int | None = None) -> DataFrame:
     """query_id, query, cell: the cells that each of queries(vec_id, embedding) reads."""
-    centroids, n = index.centroids, min(probes or index.probes, len(index.centroids))
+    bare = CellIndex(None, index.centroids, index.probes)
+    n = min(probes or index.probes, len(index.centroids))
 
     def near(batches):
         for b in batches:
-            score = _matrix(b.column(1), centroids.shape[1]) @ centroids.T
-            cell = np.argsort(-score, axis=1, kind="stable")[:, :n]
+            cell = _nearest_cells(_matrix(b.column(1), bare.centroids.shape[1]), bare, probes)
             at = pa.array(np.repeat(np.arange(b.num_rows), n))
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), pa.array(cell.ravel().astype(np.int32))], names=["query_id", "query", "cell"])
 
@@ -99,23 +104,43 @@ def probed(index: CellIndex, queries: DataFrame, probes: int | None = None) -> D
 
 
 def search_index(index: CellIndex, queries: DataFrame, k: int, probes: int | None = None, max_queries: int = 1000) -> DataFrame:
-    """query_id, vec_id, score, rank: the k nearest rows of the cells that a query reads. Queries are broadcast in
-    blocks of about ``max_queries``; a block's scan opens its own cells alone."""
+    """query_id, vec_id, score, rank: the k nearest rows of the cells that a query reads. Queries go out in blocks of
+    about ``max_queries``; a block's scan opens its own cells alone and scores each cell as a matrix."""
+    nothing = index.rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
     if not len(index.centroids):
-        return index.rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")).limit(0)
+        return nothing
+    dims = index.centroids.shape[1]
+    kind, of = (dict(df.dtypes)["vec_id"] for df in (index.rows, queries))
+    queries = queries.where(regular("embedding", dims))
     blocks = max(1, -(-queries.count() // max_queries))
     out = None
     for i in range(blocks):
         mine = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i)
-        asked = cut(probed(index, mine, probes))
-        cells = [r.cell for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most
-        scored = index.rows.where(F.col("cell").isin(cells)).join(F.broadcast(asked), "cell")
-        scored = scored.select("query_id", "vec_id", F.round(cosine(F.col("embedding"), F.col("query")), 6).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        part = scored.withColumn("rank", rank).where(F.col("rank") <= k)
+        asked = mine.select("vec_id", "embedding").toArrow()  # about ``max_queries`` rows
+        if not len(asked):
+            continue
+        names, held = asked.column("vec_id").combine_chunks(), matrix(asked.column("embedding"))
+        near = _nearest_cells(_matrix(asked.column("embedding"), dims), index, probes)
+        which = {c: np.flatnonzero((near == c).any(1)) for c in np.unique(near).tolist()}
+
+        def score(batches, names=names, held=held, which=which):
+            floor = np.full(len(names), -np.inf)
+            for b in batches:
+                cell = b.column(2).to_numpy()
+                rows = matrix(b.column(1))
+                order = np.argsort(cell, kind="stable")
+                for some in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
+                    of_cell = which[int(cell[some[0]])]
+                    least, ids = floor[of_cell], b.column(0).take(pa.array(some))
+                    q, r, total = best_rows(ids, rows[some], held[of_cell], least, k)
+                    floor[of_cell] = least
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(of_cell[q])), ids.take(pa.array(r)), pa.array(total)], names=["query_id", "vec_id", "score"])
+
+        read = index.rows.where(F.col("cell").isin(list(which))).select("vec_id", "embedding", "cell")
+        part = ranked(read.mapInArrow(score, f"query_id {of}, vec_id {kind}, score double"), k)
         part = cut(part) if blocks > 1 else part
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else nothing
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from kgraph.operators import retrieval as R
 from kgraph.operators import vector_index as V
 from kgraph.operators.retrieval import nearest
 
@@ -44,3 +45,20 @@ def test_recall_on_the_given_table(spark):
     v = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     queries = v.where("vec_id % 20 = 0")
     assert V.recall(V.search_index(V.build_index(v), queries, 10), nearest(v, queries, 10)).first().recall >= 0.9
+
+
+def test_matrices_rank_as_pairs_do(spark):
+    """Ties at six places, copies in mass, odd vectors and odd queries, ids that are strings: as if pair by pair."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(40, 8))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    rows = [(f"v{i:04d}", (base[i % 40] * (1 + 1e-7 * (i % 3))).tolist(), 0) for i in range(900)] + [(f"c{i:04d}", base[0].tolist(), 0) for i in range(600)]
+    rows += [("none", None, 0), ("short", [1.0], 0), ("hole", [None] + [1.0] * 7, 0), ("far", [float("inf")] + [0.0] * 7, 0), ("nan", [float("nan")] * 8, 0), ("large", (1e6 * base[1]).tolist(), 0)]
+    v = spark.createDataFrame(rows, "vec_id string, embedding array<float>, label int").repartition(3)
+    queries = v.where("vec_id LIKE '%0' OR vec_id IN ('none', 'short', 'hole', 'large')")
+    got = sorted(map(str, R.nearest(v, queries, 7, max_queries=60).collect()))
+    asked = queries.selectExpr("vec_id AS query_id", "embedding AS query")
+    assert got == sorted(map(str, R.ranked(R._pairs(v, asked), 7).collect()))
+    # a block's products are of matrices, not an expression a pair
+    plan = R.scored_by(v.where(R.regular("embedding", 8)), asked.where(R.regular("query", 8)).toArrow(), "string", 7)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "zip_with" not in plan
