@@ -1,6 +1,7 @@
 """Retrieval, rerank selection, questions and cleaning on small graphs, worked out by hand."""
 
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 from pyspark.sql import functions as F
 
 from kgraph.functions.text import match_key
@@ -182,3 +183,33 @@ def test_texts_whose_signed_counts_cancel_are_indexed(spark):
     got = {r.chunk_id: r.vector for r in R.vector_index(rows).collect()}
     assert sorted(got) == [1, 2, 4] and got[1] == got[4]
     assert all(len(v) == 64 and abs(sum(x * x for x in v) - 1) < 1e-6 for v in got.values())
+
+
+def test_near_duplicates_are_all_pairs_and_meet_by_rare_tokens(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    base = [[f"w{rng.randrange(400)}" for _ in range(rng.choice([1, 2, 5, 30]))] for _ in range(25)]
+    texts = []
+    for i in range(160):
+        words = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 3])):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(400)}"
+        texts.append((i, " ".join(["the", "of", *words]) if i % 2 else " ".join(words), i % 2))
+    rows = [*texts, (200, None, 0), (201, "...", 0)]
+    own = {i: (set(t.split()), bucket) for i, t, bucket in texts}
+    want = {(a, b): round(len(x & y) / len(x | y), 6) for a, (x, g) in own.items() for b, (y, h) in own.items() if a < b and g == h and len(x & y) / len(x | y) >= 0.8}
+    df = spark.createDataFrame(rows, "chunk_id int, content string, bucket int")
+    for common in (100_000, 10):
+        monkeypatch.setattr(R, "COMMON", common)
+        got = [(r.a, r.b, r.score) for r in R.near_duplicates(df, 0.8).collect()]
+        assert len(got) == len(want) > 40 and {(a, b): s for a, b, s in got} == want
+    # texts that share frequent words alone don't meet
+    frequent = " ".join(f"f{i}" for i in range(20))
+    many = [(i, f"{frequent} " + " ".join(f"x{i}y{j}" for j in range(10)), 0) for i in range(120)]
+    monkeypatch.setattr(R, "COMMON", 100_000)
+    seen = []
+    kept = DataFrame.distinct
+    monkeypatch.setattr(DataFrame, "distinct", lambda df: seen.append(df.count()) or kept(df))
+    assert R.near_duplicates(spark.createDataFrame(many, "chunk_id int, content string, bucket int"), 0.8).count() == 0
+    assert seen == [0]
