@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -12,6 +12,8 @@ from .pages import rows_text
 
 #: Characters of a chunk and of its overlap, separators from the strongest on, headings that open no section.
 SIZE, OVERLAP = 1100, 200
+#: Texts that are held as Python objects at once.
+TEXTS = 64
 SEPARATORS = ("\n\n", "\n", ". ", "? ", "! ", "; ", ", ", " ")
 IGNORED_HEADINGS = ["ug intake", "duration", "240", "4 years"]
 
@@ -56,13 +58,20 @@ def split_text(text: str, size: int = SIZE, overlap: int = OVERLAP, marks: tuple
 def split(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
     """The pieces of each text, in Arrow batches; null has none."""
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def pieces(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap) if t else [])
+    @F.arrow_udf(ArrayType(StringType()))
+    def pieces(texts: pa.Array) -> pa.Array:
+        return split_array(texts, size, overlap)
 
     return pieces(text)
 
 
+def split_array(texts: pa.Array, size: int = SIZE, overlap: int = OVERLAP) -> pa.Array:
+    """The pieces of each text; ``TEXTS`` of them at a time are Python objects."""
+    kind = pa.list_(pa.string())
+    done = [pa.array([split_text(t, size, overlap) if t else [] for t in texts.slice(at, TEXTS).to_pylist()], kind) for at in range(0, len(texts), TEXTS)]
+    return pa.concat_arrays(done) if done else pa.array([], kind)
+
+
 def section_runs(blocks: DataFrame, ignored: list[str] = IGNORED_HEADINGS) -> DataFrame:
     """page_id, run, section, content_type, text: of blocks(page_id, ord, type, level, text, items, headers, rows).
 

@@ -4,6 +4,7 @@ import random
 from collections import deque
 from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from kgraph.operators import chunking as S
@@ -156,3 +157,16 @@ def test_references_without_a_semicolon():
     page = "<h1>A &amp&amp; B &ltx &copy; &nosuch; &#65 &#66; &amp"
     assert T.parsed(page)["headings"][0]["text"] == "A && B <x © &nosuch; A B &"
     assert T.parsed(page, closed=True)["headings"][0]["text"] == "A &amp& B &ltx © &nosuch; &#65 B &amp"
+
+
+def test_batches_are_parsed_and_split_in_pieces(monkeypatch):
+    seen = []
+    kept = T.parsed
+    monkeypatch.setattr(T, "parsed", lambda *a: seen.append(a) or kept(*a))
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(1000)), "url": [None] * 1000, "html": [f"<h1>t{i}</h1>" for i in range(1000)]})
+    out = T.parsed_batches([batch], [], [], False)
+    first = next(out)
+    assert len(seen) == first.num_rows == T.PIECE
+    assert [h[0]["text"] for b in (first, *out) for h in b.column("headings").to_pylist()] == [f"t{i}" for i in range(1000)]
+    texts = [None, "", *(f"{i} " * 700 for i in range(300))]
+    assert S.split_array(pa.array(texts)).to_pylist() == [S.split_text(t) if t else [] for t in texts]
