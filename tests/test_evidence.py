@@ -213,3 +213,11 @@ def test_near_duplicates_are_all_pairs_and_meet_by_rare_tokens(spark, monkeypatc
     monkeypatch.setattr(DataFrame, "distinct", lambda df: seen.append(df.count()) or kept(df))
     assert R.near_duplicates(spark.createDataFrame(many, "chunk_id int, content string, bucket int"), 0.8).count() == 0
     assert seen == [0]
+
+
+def test_selection_drops_rows_before_they_meet(spark):
+    rows = spark.range(500).selectExpr("id % 2 AS question", "id AS chunk_id", "concat('p', id) AS page_title", "id / 500D AS relevance", "0.5D AS vector", "array(cast(id AS string)) AS own")
+    out = R.select_chunks(rows, "question", 5, 2)
+    assert sorted(r.chunk_id for r in out.collect()) == list(range(490, 500))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Partial" in plan and "WindowGroupLimit" in plan
