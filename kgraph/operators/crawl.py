@@ -17,7 +17,7 @@ def crawl(links: DataFrame, seeds: list[str], budget: int = 500, blocked: DataFr
     visit that queued them, then by text; each round takes a whole depth and is checkpointed. ``blocked`` (url)
     counts as visited, and its links aren't followed."""
     spark = links.sparkSession
-    links = links.select("url", "link").where("link IS NOT NULL")
+    links = cut(links.select("url", "link").where("link IS NOT NULL"))  # every round reads them
     first = [(u, 0, i) for i, u in enumerate(list(dict.fromkeys(seeds))[:budget], 1)]
     front = seen = spark.createDataFrame(first, "url string, depth int, visit long")
     depth, n = 0, len(first)

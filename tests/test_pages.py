@@ -170,3 +170,15 @@ def test_batches_are_parsed_and_split_in_pieces(monkeypatch):
     assert [h[0]["text"] for b in (first, *out) for h in b.column("headings").to_pylist()] == [f"t{i}" for i in range(1000)]
     texts = [None, "", *(f"{i} " * 700 for i in range(300))]
     assert S.split_array(pa.array(texts)).to_pylist() == [S.split_text(t) if t else [] for t in texts]
+
+
+def test_crawl_makes_its_links_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    links = spark.createDataFrame([(f"p{i}", f"p{i + 1}") for i in range(6)], "url string, link string").mapInArrow(count, "url string, link string")
+    assert K.crawl(links, ["p0"]).count() == 7 and made.value == 6
