@@ -82,3 +82,15 @@ def test_least_labels(spark):
     pairs = [(f"{i:03}", f"{i + 1:03}") for i in range(60)] + [("x", "y"), ("y", "x"), ("m", "k")]
     got = {r.id: r.label for r in least_labels(spark.createDataFrame(pairs, "a string, b string")).collect()}
     assert got == {f"{i:03}": "000" for i in range(61)} | {"x": "x", "y": "x", "m": "k", "k": "k"}
+
+
+def test_types_joined_by_one_letter_are_not_taken_apart(spark, monkeypatch):
+    from kgraph.operators import similar
+
+    rows = [(f"c{i:03}", "Customer", f"customer#{i:09}") for i in range(60)] + [("p1", "Part", "large red gear box"), ("p2", "Part", "small blue bolt")]
+    taken, cut = [], similar.cut
+    monkeypatch.setattr(similar, "cut", lambda df: taken.append(kept := cut(df)) or kept)
+    got = {r.id: r.class_id for r in similar.similar_names(spark.createDataFrame(rows, "id string, type string, name string"), 0.88).collect()}
+    assert got == {i: "c000" if t == "Customer" else i for i, t, _ in rows}
+    runs = [df for df in taken if "run" in df.columns and "size" in df.columns]
+    assert runs and {r.type for r in runs[0].select("type").distinct().collect()} == {"Part"}
