@@ -20,9 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import chunk_count, documents, shared_folder
-from .kernels import slabs
+from .kernels import lean, slabs, tidy
 from .tokens import encoder
 
+#: Bytes of text that are encoded at once: what a worker needs for it is some twenty times that.
+SLAB = 4 << 20
 SCHEMA = pa.schema([("doc_id", pa.int64()), ("place", pa.int64()), ("n_tokens", pa.int64()), ("tokens", pa.list_(pa.int32()))])
 
 
@@ -32,7 +34,7 @@ def token_rows(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int) -> Da
     def encode(batches):
         place = 0
         for batch in batches:
-            for s in slabs(batch.column("doc_id").to_numpy(), batch.column("text"), 8 << 20):
+            for s in slabs(batch.column("doc_id").to_numpy(), batch.column("text"), SLAB):
                 ids, bounds = encoder(tokenizer, spaced).slab(s)
                 n = len(s.ids)
                 closed = np.full(len(ids) + n, end_id, np.int32)
@@ -43,9 +45,10 @@ def token_rows(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int) -> Da
                 tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(closed))
                 yield pa.RecordBatch.from_arrays([pa.array(s.ids), pa.array(offsets[:-1] + place), pa.array(np.diff(offsets)), tokens], schema=SCHEMA)
                 place += int(offsets[-1])
+            tidy()
 
     docs = documents(docs)
-    return docs.repartitionByRange(chunk_count(docs), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(encode, "doc_id long, place long, n_tokens long, tokens array<int>")
+    return docs.repartitionByRange(chunk_count(docs), "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(lean(encode), "doc_id long, place long, n_tokens long, tokens array<int>")
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, spaced: bool = True, end_id: int = 2, encoding: str = "dictionary", row_group_bytes: int = 16 << 20, page_rows: int = 512) -> None:
@@ -84,7 +87,7 @@ def token_digests(df: DataFrame) -> DataFrame:
             crc = [zlib.crc32(flat[x:y]) for x, y in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("file").cast(pa.string()), b.column("doc_id"), b.column("place"), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], schema=schema)
 
-    rows = df.select(F.col("_metadata.file_path").alias("file"), "doc_id", "place", "tokens").mapInArrow(digest, "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
+    rows = df.select(F.col("_metadata.file_path").alias("file"), "doc_id", "place", "tokens").mapInArrow(lean(digest), "file string, doc_id long, place long, n_tokens long, ids_crc32 long")
     return rows.join(shard_bases(df), "file").select("doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
 
 

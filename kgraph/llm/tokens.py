@@ -20,7 +20,7 @@ from .kernels import Slab, word_bounds
 
 #: White space beyond ASCII's, the separators 1C to 1F, and what opens a special token.
 _WHOLE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80|<\|")
-#: Pieces that a worker remembers: some 200 MB at most.
+#: Pieces, and words, that a worker remembers from one slab to the next: some 150 MB each at most.
 _CACHE = 800_000
 _PLAIN = re.compile(r"( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 _known: dict[tuple[str, bool], PieceEncoder] = {}
@@ -68,11 +68,14 @@ class PieceEncoder:
         others, tokenize, ids = [], self.tokenizer.model.tokenize, self.ids
         for p in pieces:
             text = p.decode("utf-8", "replace")
-            m = _PLAIN.fullmatch(text if self.spaced else text.strip(" \t\n\v\f\r"))
-            if not m or b"<|" in p:
-                others.append(p)
-                continue
-            word, marks = m[1] if self.spaced else m[1].lower(), m[2]
+            if self.spaced and p[:1] == b" " and p[1:].isalpha():  # ASCII letters alone, as most are
+                word, marks = text, ""
+            else:
+                m = _PLAIN.fullmatch(text if self.spaced else text.strip(" \t\n\v\f\r"))
+                if not m or b"<|" in p:
+                    others.append(p)
+                    continue
+                word, marks = m[1] if self.spaced else m[1].lower(), m[2]
             got = self.words.get(word)
             if got is None:
                 got = self.words[word] = array("I", [t.id for t in tokenize(_byte_level(word))]).tobytes()
@@ -124,15 +127,18 @@ class PieceEncoder:
         new = [p for p in distinct if p not in self.ids]
         if len(self.ids) + len(new) > _CACHE:
             self.ids, new = {}, distinct
-        if len(self.words) > 1.5 * _CACHE:
-            self.words, self.marks = {}, {}
         self._each(new)
         each = [self.ids[p] for p in distinct]
+        if len(self.ids) > _CACHE:
+            self.ids = {}
+        if len(self.words) > _CACHE:
+            self.words, self.marks = {}, {}
         size = np.fromiter(map(len, each), np.int64, len(each)) // 4
         flat = np.frombuffer(b"".join(each), np.uint32)
         count = size[code]
         total = np.cumsum(count)
-        ids = flat[np.repeat((np.cumsum(size) - size)[code] - (total - count), count) + np.arange(total[-1])]
+        shift = ((np.cumsum(size) - size)[code] - (total - count)).astype(np.int32)
+        ids = flat[np.repeat(shift, count) + np.arange(total[-1], dtype=np.int32)]
         bounds = np.r_[0, total][np.searchsorted(begin, s.bounds)]
         odd = {int(np.searchsorted(s.bounds, m.start(), "right")) - 1 for m in _WHOLE.finditer(data)} if _may_be_odd(s.data, data := s.data.tobytes()) else ()
         if odd:

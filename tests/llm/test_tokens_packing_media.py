@@ -8,12 +8,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from test_repeats import DDL, corpus
 from tokenizers import Tokenizer
 
-from kgraph.llm import media
+from kgraph.llm import media, tokens
 from kgraph.llm.decontaminate import decontaminate
+from kgraph.llm.kernels import slabs
 from kgraph.llm.packing import best_fit_decreasing, best_fit_packing, lower_bound, report
 from kgraph.llm.token_files import read_tokens, token_digests, tokens_round_trip, write_tokens
 
@@ -47,6 +49,18 @@ def test_token_files(spark, tmp_path):
     assert tokens_round_trip(spark.createDataFrame([], DDL), BYTE).collect() == []
 
 
+def test_what_a_worker_remembers_is_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "_CACHE", 100)
+    rng, lib = random.Random(5), Tokenizer.from_file(BYTE)
+    e = tokens.PieceEncoder(BYTE, True)
+    for i in range(6):
+        texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) + rng.choice(["", ",", "."]) for _ in range(9)) for _ in range(5)]
+        for s in slabs(np.arange(5), pa.array(texts)):
+            ids, bounds = e.slab(s)
+            assert [ids[x:y].tolist() for x, y in zip(bounds[:-1], bounds[1:], strict=True)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+        assert max(len(e.ids), len(e.words)) <= 100
+
+
 def test_token_files_whatever_the_session_says(spark, tmp_path):
     rows = [(i, f"text number {i} of many", "en", "c", 0) for i in range(200)]
     df = spark.createDataFrame(rows, DDL)
