@@ -128,6 +128,21 @@ def test_whole_question_path(spark, world):
     assert B.answers(q.limit(0), nodes, edges, chunks).collect() == []
 
 
+def test_questions_of_one_text_are_answered_once(spark, world, tmp_path):
+    nodes, edges, chunks = world
+    q = spark.createDataFrame([(i, "Where is Northern College?") for i in range(6)] + [(6, "zzz qqq"), (7, "zzz qqq"), (8, None)], "question_id long, question string")
+
+    def generate(question, context):
+        with open(f"{tmp_path}/calls", "a") as f:
+            f.write("x")
+        return context
+
+    out = {r.question_id: (r.enough, r.answer) for r in B.answers(q, nodes, edges, chunks, generate=generate).collect()}
+    assert len(out) == 9 and len({out[i] for i in range(6)}) == 1 and out[0][0] and out[0][1].startswith("QUESTION: Where is Northern College?")
+    assert {out[i] for i in (6, 7, 8)} == {(False, B.MESSAGE)}
+    assert (tmp_path / "calls").read_text() == "x"
+
+
 def test_fallback_and_large_groups(spark):
     nodes = spark.createDataFrame([("h", "Harbour", "Place"), *((f"b{i}", f"Boat {i}", "Boat") for i in range(9))], "id string, name string, type string")
     edges = spark.createDataFrame([*((f"b{i}", "MOORED_AT", "h") for i in range(9)), ("h", "OWNS", "b1"), ("b2", "LOCATED_NEAR", "b3")], "source string, relation string, target string")
