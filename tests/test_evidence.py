@@ -236,3 +236,18 @@ def test_selection_drops_rows_before_they_meet(spark):
     assert sorted(r.chunk_id for r in out.collect()) == list(range(490, 500))
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Partial" in plan and "WindowGroupLimit" in plan
+
+
+def test_near_duplicates_carry_no_text_for_each_pair(spark, monkeypatch):
+    """Sets that met but can't be alike are told apart by bitmaps; a set travels to a bin once, not once a pair."""
+    rows = [(i, " ".join([*(f"common{j}" for j in range(20)), *(f"own{i}x{j}" for j in range(12)), f"pair{i % 4}"]), 0) for i in range(40)]
+    rows += [(100 + i, " ".join(f"same{j}" for j in range(30 + i % 3)), 0) for i in range(60)] + [(7, "a text of its own", 0), (7, "a text with other words", 0), (8, "a text with other words", 0)]
+    sent = []
+    own = R._binned
+    monkeypatch.setattr(R, "_binned", lambda near, sets, *more: sent.append(near.count()) or own(near, sets, *more))
+    got = {(r.a, r.b): r.score for r in R.near_duplicates(spark.createDataFrame(rows, "chunk_id int, content string, bucket int"), 0.8).collect()}
+    want = {(100 + i, 100 + j): round((30 + min(i % 3, j % 3)) / (30 + max(i % 3, j % 3)), 6) for i in range(60) for j in range(i + 1, 60)}
+    assert got == want | {(7, 8): 1.0}
+    assert len(sent) == 2 and sent[1] == 3  # the three sets of the sixty, each with each
+    a, b = R._mapped(3, (0b1011).to_bytes(8, "little")), R._mapped(40, ((1 << 64 | 1 << 65) | 0b100).to_bytes(16, "little"))
+    assert R._bound(a, b) == R._bound(b, a) == (2, 43)
