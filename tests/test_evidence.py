@@ -251,3 +251,46 @@ def test_near_duplicates_carry_no_text_for_each_pair(spark, monkeypatch):
     assert len(sent) == 2 and sent[1] == 3  # the three sets of the sixty, each with each
     a, b = R._mapped(3, (0b1011).to_bytes(8, "little")), R._mapped(40, ((1 << 64 | 1 << 65) | 0b100).to_bytes(16, "little"))
     assert R._bound(a, b) == R._bound(b, a) == (2, 43)
+
+
+def test_texts_are_encoded_without_meeting(spark):
+    rows = [(1, "Alpha beta, alpha!"), (2, "..."), (3, None), (4, "K9 K9 xéy"), (5, "beta alpha")]
+    got = R.hashed_vectors(spark.createDataFrame(rows, "id int, content string"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.dtypes == [("id", "int"), ("vector", "array<float>")]
+    vectors = {r.id: r.vector for r in got.collect()}
+    assert sorted(vectors) == [1, 4, 5] and vectors[1] == vectors[5]
+    # tokens k9, x and y
+    slots = spark.createDataFrame([("k9",), ("x",), ("y",)], "t string").selectExpr("pmod(xxhash64(t), 64) AS s", "IF(xxhash64(t) < 0, -1, 1) AS n").collect()
+    want = [0.0] * 64
+    for r in slots:
+        want[r.s] += r.n / 3**0.5
+    assert max(abs(a - b) for a, b in zip(vectors[4], want, strict=True)) < 1e-6
+
+
+def test_rows_below_what_is_reached_are_not_put_in_order(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    queries, rows = rng.normal(size=(20, 8)), rng.normal(size=(300, 8))
+    seen = []
+    own = np.partition
+    monkeypatch.setattr(np, "partition", lambda x, *more, **how: seen.append(len(x)) or own(x, *more, **how))
+    floor = np.full(20, -np.inf)
+    R.best_rows(pa.array(np.arange(300)), rows, queries, floor, 5)
+    assert seen == [20] and np.allclose(floor, np.sort(queries @ rows.T, 1)[:, -5])
+    had = floor.copy()
+    q, r, _ = R.best_rows(pa.array(np.arange(300)), rows / 10, queries, floor, 5)
+    assert seen == [20] and (floor == had).all() and not len(q)
+
+
+def test_vectors_of_all_kinds_over_several_blocks(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4 if i % 5 else 3)]) for i in range(120)] + [(200, [float("nan")] * 4), (201, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 3 = 0 AND vec_id < 200")
+    one, many = (sorted(str(tuple(r)) for r in R.nearest(df, asked, 4, most).collect()) for most in (1000, 7))  # as texts, as nan is not itself
+    assert one == many and len(one) == 160
